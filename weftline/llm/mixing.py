@@ -5,7 +5,7 @@ words; none is above 2 times its source's words. A document of a source with inc
 taken floor(p) times for certain and once more with probability p - floor(p). Those fractional probabilities go
 through the flight phase of the cube method, whose moves keep each source's expected words and documents: blocks of
 a source move on their own until at most two units stay fractional, the units left over are dealt into blocks again,
-and the last ones of each source are landed where the words miss their target least.
+and of each source's last block a dozen units are landed together where words and documents miss their targets least.
 
 Blocks take the largest documents first, so what is left for landing is small. Every draw comes from a generator
 seeded with the source and block, and units are sorted before they move, so reruns agree.
@@ -34,6 +34,8 @@ BLOCK = 4096
 #: A fraction nearer than this to 0 or 1 is settled.
 TINY = 1e-9
 SEED = 20
+#: Units of a source's last block that wait for the landing, and the weight of a mean document's words against one document there.
+LANDING, WORDS_FIRST = 12, 50.0
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = SHARE_PERCENT, ceiling: int = CEILING) -> DataFrame:
@@ -98,15 +100,24 @@ def flight(p: np.ndarray, size: np.ndarray, draw: random.Random) -> list[float]:
 
 
 def land(x: list[float], size: np.ndarray) -> list[float]:
-    """Settles the few fractions left: of all 0/1 choices, the one whose words, then documents, miss least."""
+    """Settles the few fractions left: of all 0/1 choices, the one whose words and documents together miss least."""
     open_ = [k for k, v in enumerate(x) if 0.0 < v < 1.0]
-    best = min(range(1 << len(open_)), key=lambda c: (abs(sum(((c >> i & 1) - x[k]) * float(size[k]) for i, k in enumerate(open_))), abs(sum((c >> i & 1) - x[k] for i, k in enumerate(open_))), c))
-    for i, k in enumerate(open_):
-        x[k] = float(best >> i & 1)
+    choices = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+    change = choices - np.array([x[k] for k in open_])
+    words = np.abs(change @ size[open_].astype(float)) / max(1.0, float(size.mean()))
+    best = choices[int(np.argmin(WORDS_FIRST * words + np.abs(change.sum(axis=1))))]
+    for k, v in zip(open_, best.tolist(), strict=True):
+        x[k] = float(v)
     return x
 
 
-UNIT = "doc_id long, no_id boolean, source string, size long, ident long, n long, nth long, base long, p double"
+def last_flight(p: np.ndarray, size: np.ndarray, draw: random.Random) -> list[float]:
+    """Flight and landing of a source's last block; some units, spread over the sizes, wait for the landing."""
+    waiting = np.unique(np.linspace(0, len(p) - 1, min(LANDING, len(p))).astype(int))
+    moving = np.setdiff1d(np.arange(len(p)), waiting)
+    x = p.astype(float)
+    x[moving] = flight(p[moving], size[moving], draw)
+    return land(x.tolist(), size)
 
 
 def mover(last: bool, turn: int, seed: int):
@@ -115,8 +126,8 @@ def mover(last: bool, turn: int, seed: int):
     def move(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id", "ident", "nth"], ascending=[False, True, True, True], ignore_index=True)
         size = pdf["size"].to_numpy(np.int64)
-        x = flight(pdf["p"].to_numpy(float), size, random.Random(f"{seed}/{turn}/{pdf['source'].iloc[0]}/{pdf['block'].iloc[0]}"))
-        pdf["p"] = land(x, size) if last else x
+        draw = random.Random(f"{seed}/{turn}/{pdf['source'].iloc[0]}/{pdf['block'].iloc[0]}")
+        pdf["p"] = (last_flight if last else flight)(pdf["p"].to_numpy(float), size, draw)
         return pdf.drop(columns="block")
 
     return move
