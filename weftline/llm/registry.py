@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("chat_format", "exact_dedup", "licenses", "mixing", "pieces", "pii", "sharding", "topk", "toxicity")
+MODULES = ("chat_format", "exact_dedup", "licenses", "mixing", "ngram_join", "pieces", "pii", "sharding", "topk", "toxicity")
 
 
 def _all(what: str) -> dict:
