@@ -1,0 +1,120 @@
+import hashlib
+import random
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+
+from weftline.llm import chat_format, exact_dedup, licenses, pieces, pii, sharding  # noqa: E402
+from weftline.llm.common import new_path, word_count  # noqa: E402
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, rows, schema=DOCS):
+    return spark.createDataFrame(rows, schema)
+
+
+def docs(spark, texts):
+    return frame(spark, [(i, t, "en", "s", 1) for i, t in texts])
+
+
+HARD = [(0, None), (1, ""), (2, "A b"), (2, "A b"), (3, "a B"), (None, "x"), (4, "é" * 50_000 + " Z"), (5, "\n\t "), (6, "a b")]
+
+
+def test_word_count(spark):
+    got = docs(spark, HARD).select("text", word_count(F.col("text")).alias("n"))
+    assert {(r.text, r.n) for r in got.collect()} == {(t, len(brute.WORDS.findall(t or ""))) for _, t in HARD}
+
+
+def test_exact_dedup(spark):
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "t"))
+    got = exact_dedup.assign(docs(spark, HARD), index).collect()
+    groups = {}
+    for d, t in HARD:
+        groups.setdefault((t or "").translate(brute.UPPER_TO_LOWER), []).append(d)
+    assert len(got) == len(HARD) and sum(r.kept for r in got) == len(groups)
+    want = sorted((str(d), str(max((x for x in groups[k] if x is not None), default=None)), len(groups[k])) for d, t in HARD for k in [(t or "").translate(brute.UPPER_TO_LOWER)])
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in got) == want
+    # A second batch keeps only what the index lacks; a later session finds the table again.
+    again = exact_dedup.assign(docs(spark, [(90, "a b"), (91, "new"), (92, "NEW")]), exact_dedup.DigestIndex(spark, index.path), batch=1)
+    assert {r.doc_id: r.kept for r in again.collect()} == {90: False, 91: False, 92: True}
+    kept = exact_dedup.deduplicate(docs(spark, HARD), exact_dedup.DigestIndex(spark, new_path(spark, "t")))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and kept.count() == len(groups)
+    assert exact_dedup.assign(docs(spark, []), exact_dedup.DigestIndex(spark, new_path(spark, "t"))).count() == 0
+
+
+def test_sharding(spark):
+    rows = [*HARD, *((i * 977 - 5000, f"t{i % 7}") for i in range(400)), (-(2**63), "m"), (2**63 - 1, "n")]
+    got = sharding.layout(docs(spark, rows).withColumnRenamed("lang", "shard")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.shard, r.grown_shard) == (brute.jump(r.doc_id or 0, 40), brute.jump(r.doc_id or 0, 41)) and r.grown_shard in (r.shard, 40)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(d), len((t or "").encode()) + 16, brute.crc(t)) for d, t in rows)
+    assert sharding.layout(docs(spark, [])).count() == 0
+
+
+def test_pii(spark):
+    random.seed(5)
+    alphabet = ["a", "b1", "@", ".", "-", "+", "1", "22", "333", " ", "(", "4111 1111 1111 1111", "192.168.0.1", "x@y.zz", "é", "account no 12345678", "https://u:p@h.io", "+1 (404) 555-0199"]
+    rows = [*HARD, *((100 + i, "".join(random.choice(alphabet) for _ in range(random.randint(1, 30)))) for i in range(1500)), (99, "1" * 3_000 + "." + "a" * 9_000 + "@" * 1000)]
+    got = pii.find(docs(spark, rows).withColumnRenamed("lang", "spans")).collect()
+    want = []
+    for d, t in rows:
+        spans = brute.base_spans(t)
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        want.append((str(d), *(sum(s[0] == k for s in spans) for k in pii.BASE_KINDS), hashlib.sha256(text.encode()).hexdigest()))
+        mine = [r for r in got if r.doc_id == d and r.base_sha256 == want[-1][-1]]
+        assert mine and all(s in mine[0].spans.split(",") for s in text.split(",") if s)
+    assert sorted((str(r.doc_id), r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == sorted(want)
+    found = {r.doc_id: r.spans for r in pii.find(docs(spark, [(1, "IBAN DE89370400440532013000 ok"), (2, "see ftp://me:pw@files.example.org/x")])).collect()}
+    assert found == {1: "account:5:27", 2: "email:13:33,address:4:33"}
+    assert pii.find(docs(spark, [])).count() == 0
+
+
+def test_chat_round_trip(spark):
+    random.seed(7)
+    bits = ["### ", "</turn>", "\\", "\n", "a", "é🤦", " ", "### User:\n", "\n</turn>\n", ":", "%3A"]
+    rows = [(c, t, random.choice(["user", "assistant", "system", None, "a:b\n%", "Tool", "=x"]), random.choice([None, "", "".join(random.choice(bits) for _ in range(12))])) for c in range(150) for t in range(4)]
+    rows += [(1, 0, "user", "tie"), (1, 0, "user", "tie"), (None, None, None, None), (7, 0, "assistant", "x" * 100_000)]
+    got = chat_format.digest_columns(chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    by = {}
+    for c, t, r, x in rows:
+        by.setdefault(c, []).append(((t is not None, t or 0), r or "", x or ""))
+    assert len(got) == len(by)
+    for r in got:
+        turns = sorted(by[r.conv_id])
+        loss = "".join(x for _, role, x in turns if role == "assistant")
+        assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256("".join(f"{o}\n{x}\n" for _, o, x in turns).encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_licenses(spark):
+    mit = licenses.TEXTS["MIT"]
+    odd = "Copyright (c) 2020 Some One\r\n\r\n" + mit.upper().replace("SUBLICENSE", "Sub-Licence").replace(" ", "  ")
+    rows = [*HARD, (50, mit), (51, odd), (52, "words\nReleased under the M.I.T. licence\nReleased under the MIT Licence.\n"), (53, mit + " more"), (54, "released under the MIT license")]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
+    assert [got[i].license for i in (50, 51, 52, 53, 54)] == ["MIT", "MIT", None, None, "MIT"]
+    assert got[52].notices == ["MIT"] and got[54].notices == ["MIT"] and got[50].notices == [] and got[1].license is None
+    assert licenses.scan(docs(spark, rows)).count() == len(rows) and licenses.scan(docs(spark, [])).count() == 0
+
+
+def test_pieces_match_the_library(spark):
+    spm = pytest.importorskip("sentencepiece")
+    if not Path(pieces.MODEL).exists():
+        pytest.skip("no model")
+    sp = spm.SentencePieceProcessor(model_file=pieces.MODEL)
+    random.seed(3)
+    rows = [*HARD, *((200 + i, "".join(random.choice("ab  cdethin▁\n\x00é日🤦") for _ in range(random.randint(0, 60)))) for i in range(800)), (99, "ab" * 20_000)]
+    got = pieces.encode(docs(spark, rows).withColumnRenamed("lang", "ids")).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, list(r.ids)) for r in got) == sorted((str(d), len(e), e) for d, t in rows for e in [sp.encode(t or "")])
+    assert all(r.round_trip for r in got)
+    back = pieces.decode(pieces.encode(docs(spark, rows)))
+    assert sorted((str(r.doc_id), r.text) for r in back.collect()) == sorted((str(d), (t or "").replace("▁", " ")) for d, t in rows)

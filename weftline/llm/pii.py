@@ -35,7 +35,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Cues of account identifiers, as written in running text.
 CUES = ("account number", "account no", "account", "acct", "iban", "konto", "kontonummer", "cuenta", "compte", "passport no", "passport", "ssn", "social security")
-ACCOUNT = re.compile(r"(?:[\x20\t]*(?:number|no|nr|id)\b)?[\x20\t]*[.:#=]{0,2}[\x20\t]*([A-Za-z]{0,4}[0-9](?:[\x20-]?[A-Za-z0-9])+)", re.I)
+ACCOUNT = re.compile(r"(?:[\x20\t]*(?:number|no|nr|id)\b)?[\x20\t]*[.:#=]{0,2}[\x20\t]*([A-Za-z]{0,4}[0-9](?:[A-Za-z0-9]|[\x20-](?=[0-9]))+)", re.I)
 IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}")
 ADDRESS = re.compile(r"[^\s/?#@<>\"]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?")
 
@@ -76,8 +76,11 @@ def account_span(text: str, at: int) -> tuple[int, int] | None:
     if not (m := ACCOUNT.match(text, at)):
         return None
     start = m.start(1)
-    if (b := IBAN.match(text, start)) and iban_holds(b[0]):
-        return start, b.end()
+    if b := IBAN.match(text, start):
+        # The pattern may run into the next words; the longest valid part that ends at a word's end is the number.
+        for end in range(b.end(), start + 14, -1):
+            if (end == len(text) or not text[end].isalnum()) and text[end - 1] != " " and iban_holds(text[start:end]):
+                return start, end
     digits = sum(c.isdigit() for c in m[1])
     if 6 <= digits <= 20 and sum(c.isalpha() for c in m[1]) <= 4:
         return start, m.end(1)
