@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from weftline.plans import panel_queries, text_queries
+
 
 def queries() -> dict:
-    return {}
+    return {**panel_queries.QUERIES, **text_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**panel_queries.ORACLES, **text_queries.ORACLES}
