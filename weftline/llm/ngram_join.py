@@ -9,8 +9,8 @@ reach H + 1 a digest that all such documents of the band share. A document takes
 have larger partners there, in the next.
 
 Documents with equal sets are one class and are joined as one. Segments that two classes share make a run. The run's
-members are assigned to the member that is in most runs (its hub), and all that meet at a hub are compared exactly, in
-cells of bounded bytes; a cell returns the links that connect its members, not all pairs. Connected components follow
+members are assigned to the member that is in most runs (its hub; pairs that share too few signatures are dropped first),
+and all that meet at a hub are compared exactly, in cells of bounded bytes; a cell returns the links that connect its members, not all pairs. Connected components follow
 by rounds of label spreading over tables in the shared folder.
 
 Defined results: a null or empty text, or one of separators only, has the empty set, links with nothing and is its own
@@ -38,6 +38,12 @@ BUCKET_SIGS = 200_000
 CHUNK_BYTES, CHUNK_ROWS = 16_000_000, 2_048
 #: Characters of text that are worked on together.
 AT_ONCE = 2_000_000
+#: Signatures beyond H + 1, in hundredths of a set's size, so that linked sets share several.
+EXTRA = 4
+#: Rounds of pruning; each is exact, more of them only leave less to compare.
+ROUNDS = 1
+#: Bits of the filter that finds the texts of candidates; its size is fixed, whatever the input.
+FILTER_BITS = 23
 
 U = np.uint64
 _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -125,17 +131,33 @@ def band_limits(most: int) -> np.ndarray:
 _LIMITS = band_limits(1 << 40)
 
 
-def allocate(s: np.ndarray, weight: np.ndarray, band: int) -> np.ndarray:
-    """The signatures of a set (ascending hashes, and their weights for set digests) in a band."""
+def wished_extra(n: int) -> int:
+    """Signatures beyond H + 1 that a set of n shingles writes if it can."""
+    return n * EXTRA // 100
+
+
+def segments_of(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(segment of each hash, first hash of each non-empty segment, H) of a set in a band."""
     n, high = len(s), int(_LIMITS[band + 1]) - 1
-    differ = (n + min(n * 5 // 4, high)) // 9
-    m = -(-high // 4) + 2
+    m = -(-high * 3 // 10) + 3
     segment = ((s >> U(32)) * U(m)) >> U(32)  # ascending, as the hashes are
-    begin = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+    return segment, np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1]))), (n + min(n * 5 // 4, high)) // 9
+
+
+def bands_of(n: int) -> list[int]:
+    band = int(np.searchsorted(_LIMITS, n, "right")) - 1
+    return [band, band + 1] if int(_LIMITS[band + 1]) <= n * 5 // 4 else [band]
+
+
+def allocate(s: np.ndarray, weight: np.ndarray, band: int) -> np.ndarray:
+    """The signatures of a set (ascending hashes, and their weights for set digests) in a band."""
+    n = len(s)
+    segment, begin, differ = segments_of(s, band)
     salt = mix64((segment[begin] << U(8)) + U(band * 2 + 1))
     sums = np.add.reduceat(weight, begin)
     if len(begin) > differ:
-        return mix64(sums[: differ + 1] + salt[: differ + 1])
+        most = differ + 1 + wished_extra(n)
+        return mix64(sums[:most] + salt[:most])
     sizes = np.diff(np.append(begin, n))
     whole = mix64(sums + salt)
     of = np.repeat(np.arange(len(begin)), sizes)
@@ -147,14 +169,17 @@ def allocate(s: np.ndarray, weight: np.ndarray, band: int) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
+def sure_extra(s: np.ndarray) -> int:
+    """How many signatures beyond one a linked document shares with this one, if it is as sure of as many itself."""
     n = len(s)
+    if not (wish := wished_extra(n)):
+        return 0
+    return max(0, min(min(wish, len(begin) - differ - 1) for band in bands_of(n) for _, begin, differ in [segments_of(s, band)]))
+
+
+def signatures(s: np.ndarray) -> np.ndarray:
     weight = mix64(s + U(0x1234567))
-    band = int(np.searchsorted(_LIMITS, n, "right")) - 1
-    parts = [allocate(s, weight, band)]
-    if int(_LIMITS[band + 1]) <= n * 5 // 4:
-        parts.append(allocate(s, weight, band + 1))
-    return np.concatenate(parts)
+    return np.concatenate([allocate(s, weight, band) for band in bands_of(len(s))])
 
 
 def parts_of(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -172,21 +197,22 @@ def parts_of(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def sizes_and_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n, ref, cls) of every row."""
+    """(doc_id, text_key, n, extra, ref, cls) of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            n, ref, cls = [], [], []
+            n, extra, ref, cls = [], [], [], []
             for a, b in parts_of(texts):
                 for s in shingle_sets(texts[a:b]):
                     r, c = class_of(s)
                     n.append(len(s))
+                    extra.append(sure_extra(s))
                     ref.append(r)
                     cls.append(c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ref, pa.int64()), pa.array(cls, pa.binary())], names=["doc_id", "text_key", "n", "ref", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(extra, pa.int32()), pa.array(ref, pa.int64()), pa.array(cls, pa.binary())], names=["doc_id", "text_key", "n", "extra", "ref", "cls"])
 
-    return docs.mapInArrow(work, "doc_id long, text_key long, n long, ref long, cls binary")
+    return docs.mapInArrow(work, "doc_id long, text_key long, n long, extra int, ref long, cls binary")
 
 
 def runs_of(docs: DataFrame, buckets: int) -> DataFrame:
@@ -316,48 +342,97 @@ def components(edges: DataFrame) -> DataFrame:
         roots = step.join(jump, "root", "left").select("v", F.least("root", F.coalesce("next", "root")).alias("root"))
 
 
+def pruned(runs: DataFrame, extras: DataFrame) -> DataFrame:
+    """Runs without members that are in too few runs to link with any other member, nor runs of one.
+
+    Linked x and y share 1 + min(extra_x, extra_y) runs at least, so x is in more runs than min(extra_x, least extra
+    of the run's members) wherever it meets a partner.
+    """
+    each = runs.groupBy("ref").agg(F.count(F.lit(1)).alias("runs")).join(extras, "ref")
+    of_run = runs.join(extras, "ref").groupBy("run").agg(F.min("extra").alias("least"), F.count(F.lit(1)).alias("k"))
+    kept = runs.join(each, "ref").join(of_run.filter("k > 1"), "run").filter(F.col("runs") > F.least("extra", "least"))
+    return kept.select("run", "ref")
+
+
+def meeting_points(runs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(hub, ref): which classes are compared with which; all that meet at a hub are.
+
+    Runs of two are pairs. Linked sets share 1 + extra signatures, so a pair with fewer is dropped: it shares its runs of
+    two, and at most as many larger ones as its rarer member is in. Members of larger runs go to the run's hub.
+    """
+    by_run = runs.groupBy("run").agg(F.count(F.lit(1)).alias("k"), F.min("ref").alias("a"), F.max("ref").alias("b"))
+    large = runs.join(by_run.filter("k > 2").select("run"), "run")
+    large = written(large, "runs-large")
+    degree = runs.groupBy("ref").agg(F.count(F.lit(1)).alias("degree"))
+    in_large = large.groupBy("ref").agg(F.count(F.lit(1)).alias("large"))
+    facts = classes.groupBy("ref").agg(F.max("n").alias("most"), F.min("n").alias("least"), F.min("extra").alias("extra")).join(in_large, "ref", "left")
+    of = lambda x: facts.select(F.col("ref").alias(x), F.col("most").alias(f"most_{x}"), F.col("least").alias(f"least_{x}"), F.col("extra").alias(f"extra_{x}"), F.coalesce("large", F.lit(0)).alias(f"large_{x}"))
+    pairs = by_run.filter("k = 2").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).join(of("a"), "a").join(of("b"), "b")
+    enough = F.col("shared") + F.least("large_a", "large_b") > F.least("extra_a", "extra_b")
+    fits = (F.col("least_a") * 4 <= F.col("most_b") * 5) & (F.col("least_b") * 4 <= F.col("most_a") * 5)
+    two = pairs.filter(enough & fits).select(F.col("a").alias("hub"), F.explode(F.array("a", "b")).alias("ref"))
+    # The hub of a run is its member that is in most runs; in a group of near copies that is the text they stem from.
+    weighed = large.join(degree, "ref")
+    hubs = weighed.groupBy("run").agg(F.max(F.struct("degree", "ref"))["ref"].alias("hub"))
+    return large.join(hubs, "run").select("hub", "ref").unionByName(two).distinct()
+
+
+def slots_of(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit map of fixed size with the low bits of the keys set: built in parts, so the driver gets 2 ** FILTER_BITS bits at most."""
+    slot = F.col(column).bitwiseAND((1 << FILTER_BITS) - 1)
+    words = keys.select(F.shiftright(slot, 5).cast("int").alias("word"), slot.bitwiseAND(31).cast("int").alias("at"))
+    got = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
+    return out
+
+
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, linked): rows has (doc_id, text_key, n, ref, cls) of every row; linked (cls, root) of classes with links."""
+    """(rows, linked): rows has (doc_id, text_key, n, extra, ref, cls) of every row; linked (v, root) of classes with links."""
     spark = docs.sparkSession
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = written(sizes_and_classes(body.select("doc_id", F.xxhash64("text").alias("text_key"), "text")), "shingle-classes")
-    classes = rows.filter("n > 0").groupBy("cls", "ref", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("at"))
+    keyed = body.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    rows = written(sizes_and_classes(keyed), "shingle-classes")
+    classes = rows.filter("n > 0").groupBy("cls", "ref", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.min("extra").alias("extra"))
     volume = rows.agg(F.sum("n")).first()[0] or 0
     buckets = 1 << max(3, int(np.ceil(np.log2(max(1.0, 0.4 * volume / BUCKET_SIGS)))))
     runs = written(runs_of(body, buckets), "runs")
-    # The hub of a run is its member that is in most runs; in a group of near copies that is the text they stem from.
-    degree = runs.groupBy("ref").agg(F.count(F.lit(1)).alias("degree"))
-    weighed = runs.join(degree, "ref")
-    hubs = weighed.groupBy("run").agg(F.max(F.struct("degree", "ref"))["ref"].alias("hub"))
-    meets = runs.join(hubs, "run").select("hub", "ref").distinct()
-    meets = written(meets, "meets")
-    wanted = classes.join(meets.select("ref").distinct(), "ref", "left_semi").select("cls", "ref", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key"))
+    extras = classes.groupBy("ref").agg(F.min("extra").alias("extra"))
+    for _ in range(ROUNDS):
+        runs = written(pruned(runs, extras), "runs-pruned")
+    meets = written(meeting_points(runs, classes), "meets")
+    wanted = written(classes.join(meets.select("ref").distinct(), "ref", "left_semi").select("cls", F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")), "candidates")
+    shipped = spark.sparkContext.broadcast(slots_of(wanted, "text_key"))
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets of the texts that may be wanted; the others do not leave their task."""
+        bits, low = shipped.value, np.int64((1 << FILTER_BITS) - 1)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            slot = batch.column(1).to_numpy() & low
+            batch = batch.take(pa.array(np.flatnonzero((bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1)))
+            texts = batch.column(2).to_pylist()
             for a, b in parts_of(texts):
                 sets = shingle_sets(texts[a:b])
                 ids = [class_of(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([c for _, c in ids], pa.binary()), pa.array([r for r, _ in ids], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "ref", "n", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([c for _, c in ids], pa.binary()), pa.array([r for r, _ in ids], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "text_key", "cls", "ref", "n", "hashes"])
 
-    texts = body.withColumn("text_key", F.xxhash64("text")).alias("d").join(wanted.alias("w"), (F.col("d.text_key") == F.col("w.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("text")
-    sets = written(texts.mapInArrow(hash_sets, "cls binary, ref long, n long, hashes binary"), "shingle-sets")
-    return rows, _join_sets(spark, meets, sets)
+    found = keyed.mapInArrow(hash_sets, "doc_id long, text_key long, cls binary, ref long, n long, hashes binary").alias("d")
+    same = (F.col("d.text_key") == F.col("w.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.cls") == F.col("w.cls"))
+    sets = written(found.join(wanted.alias("w"), same, "left_semi").select("cls", "ref", "n", "hashes"), "shingle-sets")
+    return rows, components(links_between(meets, sets))
 
 
-def _join_sets(spark: SparkSession, meets: DataFrame, sets: DataFrame) -> DataFrame:
-    # Rows that repeat doc_id and text would appear twice among the sets; one is enough.
-    sizes = sets.select("ref", "n").groupBy("ref").agg(F.max("n").alias("n"))
+def links_between(meets: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of class ids: links that connect what meets at each hub, found cell by cell."""
+    sizes = sets.groupBy("ref").agg(F.max("n").alias("n"))
     room = meets.join(sizes, "ref").groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("volume"))
     chunks = F.greatest(F.ceil(F.col("members") / CHUNK_ROWS), F.ceil(F.col("volume") * 8 / CHUNK_BYTES)).cast("int")
     cells = meets.join(room.select("hub", chunks.alias("chunks")), "hub")
     own = F.pmod(F.xxhash64("ref"), F.col("chunks")).cast("int")
     cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells = cells.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "ref")
-    filled = cells.join(sets, "ref").select("hub", "i", "j", "cls", "hashes")
-    edges = written(filled.groupBy("hub", "i", "j").applyInArrow(compare, "a binary, b binary"), "links")
-    return components(edges.filter("a <> b"))
+    filled = cells.join(sets.select("ref", "cls", "hashes"), "ref").select("hub", "i", "j", "cls", "hashes")
+    return written(filled.groupBy("hub", "i", "j").applyInArrow(compare, "a binary, b binary"), "links").filter("a <> b")
 
 
 def assign(docs: DataFrame) -> DataFrame:
