@@ -4,9 +4,10 @@ Vectors are turned into integers and lifted by one coordinate sqrt(M - |v|^2) (M
 makes all norms equal, so that the largest inner product is the least distance. Each vector is keyed by its nearest
 pivot and its distance to it; a pivot's distances are cut into annuli, and those into blocks of bounded size by a hash
 of the row, so that many equal vectors do not meet in one task. A query first searches its own block, which gives it a
-k-th score to beat. It then goes to the annuli in order of their triangle-inequality bound, and only to those that
-can still hold a better score: for pivot distance d of the query and an annulus from r1 to r2, no vector inside is nearer
-than max(d - r2, r1 - d, 0). Scores are exact integers.
+k-th score to beat. It then goes to the annuli that can still hold a better score by the triangle inequality: for pivot
+distance d of the query and an annulus from r1 to r2, no vector inside is nearer than max(d - r2, r1 - d, 0). Inside a
+block the rows are sorted by distance and searched in narrow annuli, the nearest first; what is found raises the score
+to beat, and the search stops where no annulus can reach it. Scores are exact integers.
 
 Parameter with a bound: pivots come from the SAMPLE rows of least hash; annuli are cut at that sample's quantiles.
 Every row is indexed, and the answer is exact whatever the pivots are.
@@ -33,7 +34,9 @@ SCALE = 256
 SAMPLE = 4_000
 PIVOTS, ANNULI = 16, 6
 #: Rows of a block, and queries that travel together.
-BLOCK_ROWS, QUERY_ROWS = 4_096, 512
+BLOCK_ROWS, QUERY_ROWS = 4_096, 256
+#: Rows of the annuli that a block is searched by.
+RING = 512
 K, EVERY = 5, 50
 #: Bounds are widened by this much for rounding in the distances.
 SLACK = 1e-6
@@ -139,6 +142,10 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     most = max(most, float(asked.select(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * x.cast("long")))).first()[0] or 0))
     pivots = Pivots(np.stack([np.array(v) for v in sample[widths == width]]), most)
 
+    def most_score(least: np.ndarray) -> np.ndarray:
+        """The highest inner product at a distance: |q - v|^2 = 2 * most - 2 q.v for lifted vectors."""
+        return (2 * most - np.maximum(least - SLACK, 0.0) ** 2) / 2
+
     def key_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -172,23 +179,47 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
             yield pd.DataFrame(out, columns=["cell", "part", "ids", "vs", "floors"])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        """All queries that came to a block against its rows, some at a time."""
-        ids, v = right["vec_id"].to_numpy(), np.frombuffer(b"".join(right["v"].to_pylist()), np.int32).reshape(-1, width)
+        """All queries that came to a block against its rows: annuli of RING rows, nearest first, until none can hold more."""
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 3, names=["query_id", "vec_id", "score"])
+        r = right["r"].to_numpy()
+        order = np.argsort(r, kind="stable")
+        ids, r = right["vec_id"].to_numpy()[order], r[order]
+        v = np.frombuffer(b"".join(right["v"].to_pylist()), np.int32).reshape(-1, width)[order]
+        pivot = int(left["cell"][0].as_py()) // 64
+        starts = np.arange(0, len(ids), RING)
+        low, high = r[starts], r[np.minimum(starts + RING, len(r)) - 1]
         out: list[tuple] = []
         for q_ids, q_vs, floors in zip(*(left[c].to_pylist() for c in ("ids", "vs", "floors")), strict=True):
-            q, qv, floor = np.frombuffer(q_ids, np.int64), np.frombuffer(q_vs, np.int32).reshape(-1, width), np.frombuffer(floors, np.int64)
-            for a in range(0, len(q), QUERY_ROWS):
-                b = slice(a, a + QUERY_ROWS)
-                for c in range(0, len(ids), BLOCK_ROWS):
-                    d = slice(c, c + BLOCK_ROWS)
-                    rows, hit, score = best(products(qv[b], v[d]), ids[d], q[b], k)
-                    good = score >= floor[b][rows]
-                    out.append((q[b][rows[good]], hit[good], score[good]))
+            all_q, all_v, all_f = np.frombuffer(q_ids, np.int64), np.frombuffer(q_vs, np.int32).reshape(-1, width), np.frombuffer(floors, np.int64)
+            d = pivots.distances(pivots.lift(all_v.astype(float), pivots.most))[:, pivot]
+            near_first = np.argsort(d, kind="stable")  # queries of like distance share their nearest annuli
+            for a in range(0, len(all_q), QUERY_ROWS):
+                b = near_first[a : a + QUERY_ROWS]
+                q, qv, floor = all_q[b], all_v[b], all_f[b].copy()
+                found = np.full((len(q), k), none)
+                least = np.maximum(np.maximum(d[b][:, None] - high[None, :], low[None, :] - d[b][:, None]), 0.0)
+                bound = most_score(least)
+                for ring in np.argsort(least.min(0), kind="stable").tolist():
+                    asks = np.flatnonzero(bound[:, ring] + 1 >= floor)
+                    if not len(asks):
+                        continue
+                    rows = slice(starts[ring], starts[ring] + RING)
+                    at, hit, score = best(products(qv[asks], v[rows]), ids[rows], q[asks], k)
+                    good = score >= floor[asks][at]
+                    at, hit, score = asks[at[good]], hit[good], score[good]
+                    out.append((q[at], hit, score))
+                    # What was found raises the floor: the k-th best score of each query so far.
+                    place = np.arange(len(at)) - np.searchsorted(at, at)
+                    fresh = np.full((len(q), k), none)
+                    fresh[at, place] = score
+                    found = -np.sort(-np.concatenate((found, fresh), axis=1), axis=1)[:, :k]
+                    floor = np.maximum(floor, found[:, k - 1])
         cols = [np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(3)]
         return pa.table([pa.array(x, pa.int64()) for x in cols], names=["query_id", "vec_id", "score"])
 
     def visit(asks: DataFrame) -> DataFrame:
-        return asks.groupBy("cell", "part").cogroup(index.select("cell", "part", "vec_id", "v").groupBy("cell", "part")).applyInArrow(answer, HITS)
+        return asks.groupBy("cell", "part").cogroup(index.select("cell", "part", "vec_id", "r", "v").groupBy("cell", "part")).applyInArrow(answer, HITS)
 
     first = written(visit(asked.mapInPandas(near, packed)), "hits-near")
     floors = first.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("score"), False), 1, k).alias("top"))
@@ -205,8 +236,7 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
             lifted = pivots.lift(v.astype(float), pivots.most)
             d = pivots.distances(lifted)[:, at // 64]
             least = np.maximum(np.maximum(d - high[None, :], low[None, :] - d), 0.0)
-            # |q - v|^2 = |q|^2 + most - 2 q.v, with |q|^2 = most after lifting
-            bound = (2 * pivots.most - np.maximum(least - SLACK, 0.0) ** 2) / 2
+            bound = most_score(least)
             floor = q["floor"].fillna(none).to_numpy(float)
             asks = bound + 1 >= floor[:, None]
             exact = q["floor"].astype("Int64").fillna(none).to_numpy(np.int64)
