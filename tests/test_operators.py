@@ -142,7 +142,7 @@ def test_rerank_without_candidates(spark):
 
 def test_adjudication_retries_and_fails(spark):
     pool = spark.createDataFrame([("k1", "n1", ["A"]), ("k2", "n2", ["B"])], "key string, name string, candidates array<string>")
-    asked = adjudicate.requests(pool, [F.col("key")])
+    asked = adjudicate.requests(pool, ["key"])
     good = lambda r: '```json\n[{"id":0,"decision":"CONFIRM","chosen_match":"A"},{"id":1,"decision":"NO_MATCH"}]```'
     assert {r.key: r.decision for r in adjudicate.call(asked, good, "m").collect()} == {"k1": "CONFIRM", "k2": "NO_MATCH"}
     bad = lambda r: '[{"id":0,"decision":"CONFIRM","chosen_match":"Z"},{"id":1,"decision":"NO_MATCH"}]'
@@ -179,3 +179,33 @@ def test_sources(spark, tmp_path):
         tables.require_contract(df, ["y"])
     one = spark.createDataFrame([("a",), ("b",)], "n string")
     assert tables.content_hash(one, "n").first() == tables.content_hash(one.orderBy(F.desc("n")), "n").first()
+
+
+def test_workbooks(spark, tmp_path):
+    from weftline.sources import xlsx
+
+    path = str(tmp_path / "book.xlsx")
+    df = spark.createDataFrame([("007", None, "a <b> & c"), ("x", "2", " ")], "code string, n string, t string")
+    xlsx.write_workbook({"first": df, "second": df.limit(1)}, path)
+    spark.dataSource.register(xlsx.SheetSource)
+    sheet = spark.read.format("sheet").option("sheet", "first").load(path)
+    assert [(r.row_idx, r.cells) for r in sheet.orderBy("row_idx").collect()] == [(0, ["code", "n", "t"]), (1, ["007", None, "a <b> & c"]), (2, ["x", "2", " "])]
+    assert sorted(map(tuple, xlsx.with_header(sheet).collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        xlsx.write_workbook({"first": df}, path, most_rows=1)
+
+
+def test_run_log(spark):
+    from weftline.operators.runlog import RunLog
+
+    log = RunLog("decisions")
+    log.watch(spark.range(10), even=F.col("id") % 2 == 0).write.format("noop").mode("overwrite").save()
+    assert "10 rows" in log.lines()[0] and "even 5 (50.0%)" in log.lines()[1]
+
+
+def test_permutation_keeps_the_values(spark):
+    from weftline.operators.models import permuted
+
+    df = spark.range(200).selectExpr("id", "id * 3 AS x")
+    got = permuted(df, "x").collect()
+    assert sorted(r.x for r in got) == [3 * i for i in range(200)] and sorted(r.id for r in got) == list(range(200)) and any(r.x != 3 * r.id for r in got)

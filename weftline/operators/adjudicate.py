@@ -63,7 +63,7 @@ def is_network_error(message: Column) -> Column:
     return F.lower(message).rlike("|".join(m.replace(".", r"\.") for m in NETWORK_MARKERS))
 
 
-def requests(pool: DataFrame, order: list, size: int = 15) -> DataFrame:
+def requests(pool: DataFrame, order: list[str], size: int = 15) -> DataFrame:
     """(batch, size, request, keys, candidates): JSON requests of at most ``size`` items; pool has key, name, candidates."""
     rows = batches(pool, order, size)
     item = F.struct("id", "name", "candidates", "key")

@@ -12,7 +12,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import metrics
@@ -92,15 +92,30 @@ def search(df: DataFrame, features: list[str], target: str, last: int, trials: i
     return best
 
 
+def permuted(df: DataFrame, feature: str, seed: int = 42, groups: int = 32) -> DataFrame:
+    """df with the feature's values dealt anew inside random groups, so no task sorts all rows."""
+    own, other = F.xxhash64(*df.columns), F.xxhash64(*df.columns, F.lit(seed))
+    keyed = df.withColumn("__g", F.pmod(F.xxhash64(*df.columns, F.lit(-seed)), F.lit(groups)))
+    keyed = keyed.withColumn("__i", F.row_number().over(Window.partitionBy("__g").orderBy(own))).withColumn("__j", F.row_number().over(Window.partitionBy("__g").orderBy(other)))
+    donors = keyed.select("__g", F.col("__j").alias("__i"), F.col(feature).alias("__v"))
+    return keyed.join(donors, ["__g", "__i"]).withColumn(feature, F.col("__v")).select(*df.columns)
+
+
 def permutation_importance(predict, df: DataFrame, features: list[str], actual: str, seed: int = 42) -> DataFrame:
-    """(feature, loss of mean absolute error when its values are dealt anew); predict maps rows to rows with ``predicted``."""
-    spark = df.sparkSession
+    """(feature, rise of the mean absolute error when its values are dealt anew); predict adds ``predicted``."""
     error = lambda d: predict(d).agg(F.avg(F.abs(F.col("predicted") - F.col(actual)))).first()[0]
-    base, rows = error(df), []
-    for f in features:
-        # Values move to another row by a random partner column, without bringing them together in one task.
-        keyed = df.withColumn("__k", F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(97)))
-        means = keyed.groupBy("__k").agg(F.max_by(F.col(f), F.xxhash64(*df.columns)).alias("__v"))
-        mixed = keyed.join(F.broadcast(means), "__k").withColumn(f, F.col("__v")).drop("__k", "__v")
-        rows.append((f, float(error(mixed) - base)))
-    return spark.createDataFrame(rows, "feature string, importance double")
+    base = error(df)
+    return df.sparkSession.createDataFrame([(f, float(error(permuted(df, f, seed)) - base)) for f in features], "feature string, importance double")
+
+
+def fitted(train: DataFrame, features: list[str], target: str, t: str = "t", log: bool = True, **options):
+    """(model, predict): the fitted pipeline, which can be saved, and the function from rows to rows with ``predicted``."""
+    label = F.log1p(F.greatest(F.col(target).cast("double"), F.lit(0.0))) if log else F.col(target).cast("double")
+    last = train.agg(F.max(t)).first()[0]
+    model = pipeline(features, [], "__label", **options).fit(prepared(train, features).withColumn("__label", label).withColumn("__valid", F.col(t) == last))
+
+    def predict(df: DataFrame) -> DataFrame:
+        value = F.expm1("__prediction") if log else F.col("__prediction")
+        return model.transform(prepared(df, features)).withColumn("predicted", F.greatest(value, F.lit(0.0))).select(*df.columns, "predicted")
+
+    return model, predict

@@ -91,7 +91,16 @@ def aggregate_lags(panel: DataFrame, keys: list[str], prefix: str, aggregates: d
     return panel.join(got.withColumns(out).drop(*[f"{prefix}_{n}" for n in aggregates]), [*keys, t], "left")
 
 
-def batches(df: DataFrame, order: list, size: int = 15) -> DataFrame:
-    """batch and id in batch (0-based), by a stated order of few rows: those that go to an external service."""
-    row = F.row_number().over(Window.orderBy(*order)) - 1
-    return df.withColumn("__row", row).withColumn("batch", F.floor(F.col("__row") / size).cast("long")).withColumn("id", (F.col("__row") % size).cast("int")).drop("__row")
+def batches(df: DataFrame, order: list[str], size: int = 15, coarse: Column | None = None) -> DataFrame:
+    """batch and id in batch (0-based), rows taken by (coarse, order).
+
+    Rows are numbered inside each value of coarse and offset by the counts before it, so no task sorts all rows; by
+    default coarse is one of 64 hash classes, a coarse part of the order itself keeps the order global.
+    """
+    part = coarse if coarse is not None else F.pmod(F.xxhash64(*order), F.lit(64))
+    df = df.withColumn("__part", part)
+    counts = df.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    offset = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    row = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1 + F.col("__offset")
+    df = df.join(counts.select("__part", offset.alias("__offset")), "__part").withColumn("__row", row)
+    return df.withColumn("batch", F.floor(F.col("__row") / size).cast("long")).withColumn("id", (F.col("__row") % size).cast("int")).drop("__part", "__offset", "__row")

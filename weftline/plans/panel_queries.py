@@ -460,3 +460,29 @@ def holdout_features(spark, d):
     both = windows.streak_before(both, w, F.col("positive_sales") == 0, "zero_streak")
     both = both.withColumns({"lag1": F.lag("positive_sales", 1).over(w), "lag2": F.lag("positive_sales", 2).over(w), "mean3": F.round(F.avg("positive_sales").over(windows.before(w, 3)), 6)})
     return both.filter("t = 9").select("item", "wh", "lag1", "lag2", "mean3", "zero_streak")
+
+
+@query("loss_comparison")
+def loss_comparison(spark, d):
+    """Losses and target forms on one fold: squared, absolute and Huber, log and raw."""
+    df = features(item_panel(spark, d), ["item"])
+    out = None
+    for loss, log in (("squared", True), ("absolute", True), ("huber", True), ("absolute", False)):
+        got = models.forecast(df.filter("t <= 6"), df.filter("t = 7"), FEATURES, [], "positive_sales", "predicted", loss=loss, log=log, trees=5, depth=3)
+        row = got.agg(F.lit(loss).alias("loss"), F.lit("log1p" if log else "raw").alias("target"), F.round(F.avg(F.abs(F.col("predicted") - F.col("positive_sales"))), 3).alias("mae"), F.round(metrics.business_accuracy(F.col("positive_sales"), F.col("predicted")), 4).alias("accuracy"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("feature_importance")
+def feature_importance(spark, d):
+    df = features(item_panel(spark, d), ["item"])
+    _, predict = models.fitted(df.filter("t <= 6"), FEATURES, "positive_sales", trees=5, depth=3)
+    return models.permutation_importance(predict, df.filter("t = 7"), FEATURES[:3], "positive_sales")
+
+
+@query("option_search")
+def option_search(spark, d):
+    df = features(item_panel(spark, d), ["item"])
+    options, score = models.search(df.filter("t <= 7"), FEATURES[:3], "positive_sales", 7, trials=2)
+    return spark.createDataFrame([(k, str(v), float(score)) for k, v in sorted(options.items())], "option string, value string, accuracy double")

@@ -177,13 +177,13 @@ def catalog(spark, d) -> DataFrame:
 
 
 def asked(spark, d) -> DataFrame:
-    """Names to match: each supplier's number picks a part whose words come in another order, with one word changed."""
-    p = part_names(spark, d).withColumn("name", tx.normalize_name(F.col("name"))).filter(F.col("p_partkey") % 40 == 7)
+    """Names to match: those of the parts whose key is divisible by 100, their words in another order and one changed."""
+    p = part_names(spark, d).withColumn("name", tx.normalize_name(F.col("name"))).filter(F.col("p_partkey") % 100 == 0)
     words = F.reverse(F.split("name", " "))
     return p.select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", F.slice(words, 2, 20), F.lit("NEW")).alias("name"))
 
 
-CATALOG = f"{PART_NAMES}, nn AS (SELECT p_partkey, {NORMAL.format(x='name')} AS name FROM n), cat AS (SELECT min(p_partkey) AS id, name FROM nn GROUP BY name), q AS (SELECT p_partkey AS query_id, array_to_string(list_reverse(string_split(name, ' '))[2:21], ' ') || ' NEW' AS name FROM nn WHERE p_partkey % 40 = 7)"
+CATALOG = f"{PART_NAMES}, nn AS (SELECT p_partkey, {NORMAL.format(x='name')} AS name FROM n), cat AS (SELECT min(p_partkey) AS id, name FROM nn GROUP BY name), q AS (SELECT p_partkey AS query_id, array_to_string(list_reverse(string_split(name, ' '))[2:21], ' ') || ' NEW' AS name FROM nn WHERE p_partkey % 100 = 0)"
 
 
 def _grams(table: str, key: str) -> str:
@@ -207,12 +207,12 @@ def tfidf_topk(spark, d):
     return matching.sparse_topk(catalog(spark, d), asked(spark, d), "id", "query_id", "name")
 
 
-DENSE = "dn AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 25 = 0 AND c.vec_id <> q.vec_id), dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM dn)"
+DENSE = "dn AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id), dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM dn)"
 
 
 def _dense(spark, d) -> DataFrame:
     e = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return matching.dense_topk(e, e.filter("id % 25 = 0").withColumnRenamed("id", "query_id"), "id", "query_id", "embedding", exclude_self=True)
+    return matching.dense_topk(e, e.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), "id", "query_id", "embedding", exclude_self=True)
 
 
 @query("embedding_topk", f"WITH {DENSE} SELECT * FROM dense WHERE rank <= 8")
@@ -278,15 +278,15 @@ def response_validation(spark, d):
     return df.select("id", adjudicate.valid_response(adjudicate.response_array(F.col("response")), F.col("size"), candidates).alias("valid"))
 
 
-@query("batching", "WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part WHERE p_partkey % 10 = 3) SELECT p_partkey, CAST(n // 15 AS BIGINT) AS batch, CAST(n % 15 AS INT) AS id FROM r")
+@query("batching", "WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part) SELECT p_partkey, CAST(n // 15 AS BIGINT) AS batch, CAST(n % 15 AS INT) AS id FROM r")
 def batching(spark, d):
-    return windows.batches(read_table(spark, d, "part").filter("p_partkey % 10 = 3").select("p_partkey"), [F.col("p_partkey")])
+    return windows.batches(read_table(spark, d, "part").select("p_partkey"), ["p_partkey"], coarse=F.floor(F.col("p_partkey") / 500))
 
 
 @query("batch_requests")
 def batch_requests(spark, d):
     pool = asked(spark, d).select(F.col("name").alias("key"), "name", F.array(F.lit("A"), F.lit("B")).alias("candidates"))
-    return adjudicate.requests(pool, [F.col("key")]).select("batch", "size", "request")
+    return adjudicate.requests(pool, ["key"]).select("batch", "size", "request")
 
 
 def log(spark, d) -> DataFrame:
@@ -354,7 +354,7 @@ def adjudication_loop(spark, d):
     m = matched(spark, d).filter("size(top_candidates) > 0")
     pool = m.select(F.col("name").alias("key"), "name", F.transform("top_candidates", lambda c: c["name"]).alias("candidates"))
     _, todo = adjudicate.split_by_cache(pool, log(spark, d))
-    decided = adjudicate.call(adjudicate.requests(todo, [F.col("key")]), rule_client, "rule")
+    decided = adjudicate.call(adjudicate.requests(todo, ["key"]), rule_client, "rule")
     return decided.select("key", "id", "decision", "chosen_match", "model_used")
 
 

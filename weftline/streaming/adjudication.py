@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weftline.operators import adjudicate
 
@@ -16,7 +15,7 @@ def run_available(spark: SparkSession, pool_dir: str, schema: str, log_dir: str,
     def decide(batch: DataFrame, _: int) -> None:
         log = spark.read.schema(adjudicate.LOG).json(log_dir)
         _, todo = adjudicate.split_by_cache(batch, log)
-        adjudicate.call(adjudicate.requests(todo, [F.col("key")], size), client, model).write.mode("append").json(log_dir)
+        adjudicate.call(adjudicate.requests(todo, ["key"], size), client, model).write.mode("append").json(log_dir)
 
     stream = spark.readStream.schema(schema).json(pool_dir)
     return stream.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
