@@ -59,3 +59,21 @@ def word_count(text: Column) -> Column:
     one = F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_CLASS + "+", " ")
     body = F.trim(one)
     return F.when(body == "", F.lit(0).cast("long")).otherwise((F.char_length(body) - F.char_length(F.replace(body, F.lit(" "), F.lit(""))) + 1).cast("long"))
+
+
+class Scratch:
+    """Tables in the shared folder that are dropped once what was made from them is a table itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_path(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        while self.paths:
+            drop_path(self.spark, self.paths.pop())

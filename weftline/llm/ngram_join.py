@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER, UPPER, WORD_CLASS, drop_path, new_path, table, written
+from weftline.llm.common import LOWER, UPPER, WORD_CLASS, Scratch, drop_path, new_path, table, written
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -313,14 +313,14 @@ def connect(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, root) of every vertex of the edges (a, b); root is the least vertex of the component.
 
     Each round every vertex points at the least of its neighbours' roots, and pointers are then followed once, so a
     component of n vertices settles in about log n rounds. Each round is a table; the one before it is dropped.
     """
     spark = edges.sparkSession
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = scratch.written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     roots = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "v")
     path = None
     while True:
@@ -335,7 +335,7 @@ def components(edges: DataFrame) -> DataFrame:
         # A root takes on what its members have heard, so whole trees move at once.
         heard = moved.filter("root < old").groupBy(F.col("old").alias("v")).agg(F.min("root").alias("heard"))
         lifted = moved.join(heard, "v", "left").select("v", "old", F.least("root", F.coalesce("heard", "root")).alias("root"))
-        step = written(lifted, "roots-step")
+        step = scratch.written(lifted, "roots-step")
         jump = step.select(F.col("v").alias("root"), F.col("root").alias("next"))
         if not step.filter("root <> old").limit(1).count():
             return now
@@ -354,7 +354,7 @@ def pruned(runs: DataFrame, extras: DataFrame) -> DataFrame:
     return kept.select("run", "ref")
 
 
-def meeting_points(runs: DataFrame, classes: DataFrame) -> DataFrame:
+def meeting_points(runs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(hub, ref): which classes are compared with which; all that meet at a hub are.
 
     Runs of two are pairs. Linked sets share 1 + extra signatures, so a pair with fewer is dropped: it shares its runs of
@@ -362,7 +362,7 @@ def meeting_points(runs: DataFrame, classes: DataFrame) -> DataFrame:
     """
     by_run = runs.groupBy("run").agg(F.count(F.lit(1)).alias("k"), F.min("ref").alias("a"), F.max("ref").alias("b"))
     large = runs.join(by_run.filter("k > 2").select("run"), "run")
-    large = written(large, "runs-large")
+    large = scratch.written(large, "runs-large")
     degree = runs.groupBy("ref").agg(F.count(F.lit(1)).alias("degree"))
     in_large = large.groupBy("ref").agg(F.count(F.lit(1)).alias("large"))
     facts = classes.groupBy("ref").agg(F.max("n").alias("most"), F.min("n").alias("least"), F.min("extra").alias("extra")).join(in_large, "ref", "left")
@@ -396,12 +396,13 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = rows.filter("n > 0").groupBy("cls", "ref", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.min("extra").alias("extra"))
     volume = rows.agg(F.sum("n")).first()[0] or 0
     buckets = 1 << max(3, int(np.ceil(np.log2(max(1.0, 0.4 * volume / BUCKET_SIGS)))))
-    runs = written(runs_of(body, buckets), "runs")
+    scratch = Scratch(spark)
+    runs = scratch.written(runs_of(body, buckets), "runs")
     extras = classes.groupBy("ref").agg(F.min("extra").alias("extra"))
     for _ in range(ROUNDS):
-        runs = written(pruned(runs, extras), "runs-pruned")
-    meets = written(meeting_points(runs, classes), "meets")
-    wanted = written(classes.join(meets.select("ref").distinct(), "ref", "left_semi").select("cls", F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")), "candidates")
+        runs = scratch.written(pruned(runs, extras), "runs-pruned")
+    meets = scratch.written(meeting_points(runs, classes, scratch), "meets")
+    wanted = scratch.written(classes.join(meets.select("ref").distinct(), "ref", "left_semi").select("cls", F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")), "candidates")
     shipped = spark.sparkContext.broadcast(slots_of(wanted, "text_key"))
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,11 +419,13 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     found = keyed.mapInArrow(hash_sets, "doc_id long, text_key long, cls binary, ref long, n long, hashes binary").alias("d")
     same = (F.col("d.text_key") == F.col("w.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.cls") == F.col("w.cls"))
-    sets = written(found.join(wanted.alias("w"), same, "left_semi").select("cls", "ref", "n", "hashes"), "shingle-sets")
-    return rows, components(links_between(meets, sets))
+    sets = scratch.written(found.join(wanted.alias("w"), same, "left_semi").select("cls", "ref", "n", "hashes"), "shingle-sets")
+    linked = components(links_between(meets, sets, scratch), scratch)
+    scratch.drop()
+    return rows, linked
 
 
-def links_between(meets: DataFrame, sets: DataFrame) -> DataFrame:
+def links_between(meets: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) of class ids: links that connect what meets at each hub, found cell by cell."""
     sizes = sets.groupBy("ref").agg(F.max("n").alias("n"))
     room = meets.join(sizes, "ref").groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("volume"))
@@ -432,7 +435,7 @@ def links_between(meets: DataFrame, sets: DataFrame) -> DataFrame:
     cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells = cells.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "ref")
     filled = cells.join(sets.select("ref", "cls", "hashes"), "ref").select("hub", "i", "j", "cls", "hashes")
-    return written(filled.groupBy("hub", "i", "j").applyInArrow(compare, "a binary, b binary"), "links").filter("a <> b")
+    return scratch.written(filled.groupBy("hub", "i", "j").applyInArrow(compare, "a binary, b binary"), "links").filter("a <> b")
 
 
 def assign(docs: DataFrame) -> DataFrame:
