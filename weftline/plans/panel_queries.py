@@ -481,8 +481,8 @@ def feature_importance(spark, d):
     return models.permutation_importance(predict, df.filter("t = 7"), FEATURES[:3], "positive_sales")
 
 
-@query("option_search")
-def option_search(spark, d):
+@query("tuning_search")
+def tuning_search(spark, d):
     df = features(item_panel(spark, d), ["item"])
     options, score = models.search(df.filter("t <= 7"), FEATURES[:3], "positive_sales", 7, trials=2)
     return spark.createDataFrame([(k, str(v), float(score)) for k, v in sorted(options.items())], "option string, value string, accuracy double")
