@@ -35,9 +35,9 @@ SHINGLE = 5
 PERCENT = 80
 #: Signatures of a bucket, on average; and the bytes of sets and the members in one chunk of a cell.
 BUCKET_SIGS = 200_000
-CHUNK_BYTES, CHUNK_ROWS = 16_000_000, 2_048
+CHUNK_BYTES, CHUNK_ROWS = 8_000_000, 2_048
 #: Characters of text that are worked on together.
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
 #: Signatures beyond H + 1, in hundredths of a set's size, so that linked sets share several.
 EXTRA = 4
 #: Rounds of pruning; each is exact, more of them only leave less to compare.
