@@ -20,6 +20,11 @@ from weftline.operators import metrics
 FOLDS = [(1, 5, 6), (2, 6, 7), (3, 7, 8)]
 
 
+def last_folds(n: int) -> list[tuple[int, int, int]]:
+    """Three expanding folds (number, last training period, test period) that end with period n; FOLDS for n = 8."""
+    return [(k, n - 4 + k, n - 3 + k) for k in (1, 2, 3)]
+
+
 def with_folds(df: DataFrame, folds: list[tuple[int, int, int]] = FOLDS, t: str = "t") -> DataFrame:
     """Rows with (fold, is_test) for every expanding fold (number, last training period, test period) they are in."""
     of = F.explode(F.filter(F.array(*[F.struct(F.lit(n).alias("fold"), F.lit(last).alias("last"), F.lit(test).alias("test")) for n, last, test in folds]), lambda f: (F.col(t) <= f["last"]) | (F.col(t) == f["test"]))).alias("f")
