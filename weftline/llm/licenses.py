@@ -4,7 +4,9 @@ A text is brought to a canonical form (A-Z lower-cased, copyright lines dropped,
 punctuation and white space reduced to single spaces) and hashed; whole texts are hash-joined to the digests of
 known licences. The same lookup is made for each line, which finds licence notices inside other texts.
 
-The known texts are a fixed list in this module, so the digest table has a fixed size and is broadcast.
+The known texts are a fixed list (this module and license_texts), each in its usual forms: with and without its title,
+numbered and bulleted, with and without the appendix on how to apply it. So the digest table has a fixed size
+and is broadcast. The SQL knows the untitled texts of TEXTS only.
 
 Defined results: a null or empty text, or one with nothing left in canonical form, matches nothing; repeated rows
 are reported each; a line that occurs twice counts twice; empty tables give empty tables; other columns are ignored.
@@ -12,6 +14,10 @@ are reported each; a line that occurs twice counts twice; empty tables give empt
 
 from __future__ import annotations
 
+import hashlib
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +67,29 @@ NOTICES = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"],
     "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
 }
+#: Titles that stand before a text of TEXTS or BSD-3-Clause, whose bodies have none.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD 0-Clause License", "0BSD License", "Zero-Clause BSD (0BSD)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "FreeBSD License", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "Revised BSD License", "BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+    "BSL-1.0": ["Boost Software License", "Boost Software License 1.0", "Boost Software License, Version 1.0", "Boost Software License - Version 1.0 - August 17th, 2003"],
+}
+#: Where the text starts after the title, in the licences that are files.
+STARTS = {
+    "Apache-2.0": r"(?m)^\s*TERMS AND CONDITIONS FOR USE", "CC-BY-SA-4.0": r"Creative Commons Corporation \(", "CC0-1.0": r"CREATIVE COMMONS CORPORATION IS", "GFDL-1.2": r"Everyone is permitted", "GFDL-1.3": r"Everyone is permitted",
+    "GPL-1.0": r"Everyone is permitted", "GPL-2.0": r"Everyone is permitted", "GPL-3.0": r"Everyone is permitted", "LGPL-2.0": r"Everyone is permitted", "LGPL-2.1": r"Everyone is permitted", "LGPL-3.0": r"Everyone is permitted",
+    "MPL-1.1": r"(?m)^\s*1\. +Definitions", "MPL-2.0": r"(?m)^\s*1\. +Definitions",
+}
+#: Where the part on how to apply a licence starts; texts also end there, or before the line that ends the terms.
+ENDS = [r"(?m)^\s*(APPENDIX|Appendix|ADDENDUM): How to", r"(?m)^\s*How to Apply These Terms", r"(?m)^\s*END OF TERMS AND CONDITIONS"]
+#: Holders that clause 3 of the BSD licence names, and whom its disclaimer names.
+HOLDERS = [("the copyright holder", "COPYRIGHT HOLDERS"), ("the copyright holders", "COPYRIGHT HOLDERS"), ("the copyright owner", "COPYRIGHT HOLDERS"), ("the University", "REGENTS"), ("the author", "COPYRIGHT HOLDERS")]
+#: Addresses of the Free Software Foundation in editions of its licences.
+ADDRESS = r"51 Franklin St(reet)?, Fifth Floor,\s+Boston,?\s+MA\s+02110-1301,?\s+USA"
+ADDRESSES = ["51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA", "675 Mass Ave, Cambridge, MA 02139, USA"]
 #: Spellings that count as equal, after lower-casing and before punctuation goes.
 SPELLINGS = [
     ("licence", "license"), ("authoriz", "authoris"), ("organiz", "organis"), ("acknowledgement", "acknowledgment"), ("favour", "favor"),
@@ -91,10 +120,47 @@ def canonical_sql(text: str) -> str:
     return f"trim(regexp_replace({c}, '{PUNCTUATION}', ' ', 'g'))"
 
 
+def bsd3(holder: str, providers: str) -> str:
+    """BSD-2-Clause with the clause against endorsement."""
+    clause = f"3. Neither the name of {holder} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+    head, tail = TEXTS["BSD-2-Clause"].split("THIS SOFTWARE IS PROVIDED", 1)
+    tail = tail.replace("COPYRIGHT HOLDERS AND", f"{providers} AND", 1)
+    return head + clause + "THIS SOFTWARE IS PROVIDED" + (tail if providers != "REGENTS" else tail.replace("COPYRIGHT HOLDER OR", "REGENTS OR", 1))
+
+
+def listed(text: str) -> list[str]:
+    """The text with its list numbered and bulleted. Not lettered: a line that starts with (c) counts as copyright."""
+    return [text, re.sub(r"(?m)^\d\. ", "* ", text)]
+
+
+def forms() -> list[tuple[str, str]]:
+    """(license, text): every known licence in its usual forms."""
+    bodies = [*TEXTS.items(), *(("BSD-3-Clause", bsd3(*h)) for h in HOLDERS)]
+    # Another body whose disclaimer says "copyright owner", as many copies of the BSD licences do.
+    bodies += [(n, b.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR")) for n, b in bodies if n.startswith("BSD-")]
+    found = [(n, f"{title}\n\n{form}") for n, b in bodies for form in listed(b) for title in ("", *TITLES[n])]
+    for name, start in STARTS.items():
+        text = files("weftline.llm").joinpath("license_texts", f"{name}.txt").read_text(encoding="utf-8")
+        cuts = [text, *(text[: m.start()] for end in ENDS if (m := re.search(end, text)))]
+        for cut in [t for c in cuts for t in (c, c[re.search(start, c).start() :])]:
+            found += [(name, re.sub(ADDRESS, a, cut)) for a in (ADDRESSES if re.search(ADDRESS, cut) else [""])] + [(name, cut)]
+    return sorted(set(found))
+
+
+def canonical_text(text: str) -> str:
+    """canonical() of one of the fixed texts, so that only digests are shipped."""
+    c = text.translate(str.maketrans(UPPER, LOWER)).replace("\r\n", "\n").replace("\r", "\n")
+    c = re.sub(COPYRIGHT_LINE, "", c)
+    for spelling, to in SPELLINGS:
+        c = c.replace(spelling, to)
+    return re.sub(PUNCTUATION, " ", c).strip(" ")
+
+
 def known_digests(spark: SparkSession) -> DataFrame:
     """(digest, license, kind) of the fixed lists above; kind is text or notice."""
-    rows = [(name, "text", text) for name, text in TEXTS.items()] + [(name, "notice", line) for name, lines in NOTICES.items() for line in lines]
-    return spark.createDataFrame(rows, "license string, kind string, body string").groupBy(F.sha2(canonical(F.col("body")), 256).alias("digest"), "kind").agg(F.min("license").alias("license"))
+    rows = [(name, "text", text) for name, text in forms()] + [(name, "notice", line) for name, lines in NOTICES.items() for line in lines]
+    rows = sorted({(name, kind, hashlib.sha256(canonical_text(body).encode()).hexdigest()) for name, kind, body in rows})
+    return spark.createDataFrame(rows, "license string, kind string, digest string").groupBy("digest", "kind").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
