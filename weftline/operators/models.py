@@ -88,12 +88,14 @@ def hurdle(df: DataFrame, features: list[str], target: str, last: int, test: int
 def search(df: DataFrame, features: list[str], target: str, last: int, trials: int = 4, seed: int = 42, t: str = "t") -> tuple[dict, float]:
     """Random search over boosting options, judged on the last training period by business accuracy."""
     draw, best = random.Random(seed), ({}, -1.0)
+    df = df.persist()  # every trial reads it
     for _ in range(trials):
         options = {"trees": draw.choice([8, 12, 20]), "depth": draw.choice([3, 4, 5]), "loss": draw.choice(["absolute", "squared"])}
         got = forecast(df.filter(F.col(t) < last), df.filter(F.col(t) == last), features, [], target, "predicted", t, **options)
         score = got.agg(metrics.business_accuracy(F.col(target), F.col("predicted"))).first()[0]
         if score > best[1]:
             best = (options, score)
+    df.unpersist()
     return best
 
 
@@ -109,8 +111,8 @@ def permuted(df: DataFrame, feature: str, seed: int = 42, groups: int = 32) -> D
 def permutation_importance(predict, df: DataFrame, features: list[str], actual: str, seed: int = 42) -> DataFrame:
     """(feature, rise of the mean absolute error when its values are dealt anew); predict adds ``predicted``."""
     error = lambda d: predict(d).agg(F.avg(F.abs(F.col("predicted") - F.col(actual)))).first()[0]
-    base = error(df)
-    return df.sparkSession.createDataFrame([(f, float(error(permuted(df, f, seed)) - base)) for f in features], "feature string, importance double")
+    base, groups = error(df), max(1, min(32, df.count() // 64))  # few rows share one group, else most would be alone in theirs
+    return df.sparkSession.createDataFrame([(f, float(error(permuted(df, f, seed, groups)) - base)) for f in features], "feature string, importance double")
 
 
 def fitted(train: DataFrame, features: list[str], target: str, t: str = "t", log: bool = True, **options):

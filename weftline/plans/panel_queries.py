@@ -442,6 +442,7 @@ def walkforward_folds(spark, d, span=SPAN):
 # -- models ------------------------------------------------------------------------------------------------------
 
 FEATURES = ["positive_sales_lag1", "positive_sales_lag2", "positive_sales_mean3", "positive_sales_std3", "mean_outage_lag1", "month"]
+TRIALS = 40  # the largest count of the reference's three searches
 
 
 def features(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -453,8 +454,8 @@ def features(df: DataFrame, keys: list[str]) -> DataFrame:
 
 @query("gbt_walkforward")
 def gbt_walkforward(spark, d):
-    df = features(item_panel(spark, d, None), ["item"]).withColumn("segment", F.when(F.col("mean_outage_lag1") > 0.3, "SHTG").otherwise("AVAL"))
-    got = models.walk_forward(df, FEATURES, ["segment"], "positive_sales", folds=models.last_folds(periods(spark, d, None))[1:], trees=6, depth=3)
+    df = features(item_panel(spark, d, None), ["item"]).withColumn("segment", F.when(F.col("mean_outage_lag1") > 0.3, "SHTG").otherwise("AVAL")).persist()  # item months, read by every fold
+    got = models.walk_forward(df, FEATURES, ["segment"], "positive_sales", folds=models.last_folds(periods(spark, d, None)), trees=6, depth=3)
     return got.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(metrics.business_accuracy(F.col("positive_sales"), F.col("predicted")), 4).alias("accuracy"))
 
 
@@ -509,11 +510,11 @@ def loss_comparison(spark, d):
 def feature_importance(spark, d):
     df, n = features(item_panel(spark, d, None), ["item"]), periods(spark, d, None)
     _, predict = models.fitted(df.filter(F.col("t") <= n - 2), FEATURES, "positive_sales", trees=5, depth=3)
-    return models.permutation_importance(predict, df.filter(F.col("t") == n - 1), FEATURES[:3], "positive_sales")
+    return models.permutation_importance(predict, df.filter(F.col("t") == n - 1), FEATURES, "positive_sales")
 
 
 @query("tuning_search")
 def tuning_search(spark, d):
     df, n = features(item_panel(spark, d, None), ["item"]), periods(spark, d, None)
-    options, score = models.search(df.filter(F.col("t") <= n - 1), FEATURES[:3], "positive_sales", n - 1, trials=2)
+    options, score = models.search(df.filter(F.col("t") <= n - 1), FEATURES, "positive_sales", n - 1, trials=TRIALS)
     return spark.createDataFrame([(k, str(v), float(score)) for k, v in sorted(options.items())], "option string, value string, accuracy double")
