@@ -285,7 +285,7 @@ def batching(spark, d):
 
 @query("batch_requests")
 def batch_requests(spark, d):
-    pool = asked(spark, d).select(F.col("name").alias("key"), "name", F.array(F.lit("A"), F.lit("B")).alias("candidates"))
+    pool = catalog(spark, d).select(F.col("name").alias("key"), "name", F.array(F.lit("A"), F.lit("B")).alias("candidates"))
     return adjudicate.requests(pool, ["key"]).select("batch", "size", "request")
 
 
