@@ -1,3 +1,4 @@
+import math
 import random
 import sys
 from pathlib import Path
@@ -115,6 +116,42 @@ def test_topk(spark):
     assert topk.search(few, few.filter("vec_id = 0")).count() == 2
 
 
+def nearest(rows, k=5, every=50):
+    """Brute force with whole numbers; vectors meet those of their own length."""
+    ints = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows]
+    out = []
+    for q, v in {i: v for i, v in sorted(ints, key=lambda r: r[1], reverse=True) if i % every == 0}.items():
+        scores = [(max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in ints if i != q and len(w) == len(v)]
+        out += [(q, r + 1, i, s) for r, (s, i) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("case", ["lengths", "large", "huge", "beyond"])
+def test_topk_lengths_and_magnitudes(spark, case):
+    r = random.Random(case)
+    if case == "lengths":
+        rows = [(i, [r.uniform(-1, 1) for _ in range((2, 3, 3, 7)[i % 4])]) for i in range(420)] + [(450, [0.5] * 11), (500, [1.0, 2.0, 3.0])]
+    else:
+        size = {"large": 1e7, "huge": 3e38, "beyond": 1e200}[case]
+        rows = [(i, [r.uniform(-1, 1) * (size if i % 7 == 0 else 1.0) for _ in range(5)]) for i in range(260)]
+        rows += [(300, [size] * 5), (301, [-size] * 5), (302, [0.0] * 5), (303, [size] * 5)]
+    frame_ = spark.createDataFrame(rows + [(600, []), (650, None)], "vec_id long, embedding array<double>")
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk.search(frame_, frame_.filter("vec_id % 50 = 0")).collect())
+    assert got == nearest(rows)
+
+
+def test_topk_turns_and_blocks(spark, monkeypatch):
+    """Many queries at a block are dealt into turns; a third of the rows are one vector."""
+    monkeypatch.setattr(topk, "TURN_QUERIES", 20)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(topk, "PIVOT_ROWS", 40)
+    r = random.Random(9)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(4)] if i % 3 else [0.25] * 4) for i in range(1200)]
+    frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk.search(frame_, frame_.filter("vec_id % 10 = 0")).collect())
+    assert got == nearest(rows, every=10)
+
+
 def test_isotonic_and_trees():
     r = np.random.default_rng(5)
     x = r.normal(size=(600, toxicity.N_FEATURES))

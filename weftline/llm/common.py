@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -23,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set and one machine runs all."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="weftline-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", f"file://{found}")
@@ -61,6 +65,36 @@ def word_count(text: Column) -> Column:
     return F.when(body == "", F.lit(0).cast("long")).otherwise((F.char_length(body) - F.char_length(F.replace(body, F.lit(" "), F.lit(""))) + 1).cast("long"))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each changed until no column has it (columns differ by more than case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def holds_map(kind: T.DataType) -> bool:
+    """Whether values of the type have no order and no hash: maps, anything with one inside, and variants."""
+    if isinstance(kind, T.StructType):
+        return any(holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType)) or (isinstance(kind, T.ArrayType) and holds_map(kind.elementType))
+
+
+def row_order(df: DataFrame) -> Column:
+    """A hash that settles which of several rows is taken; columns that cannot be hashed do not count."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not holds_map(f.dataType)])
+
+
+def repeated(df: DataFrame, count: str, number: str, step: int = 8_192) -> DataFrame:
+    """Each row ``count`` times with a number from 1; in two steps, so that no array is long."""
+    start = unused(df.columns, "__start")[0]
+    begun = df.filter(F.col(count) > 0).withColumn(start, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count).cast("long"), F.lit(step).cast("long"))))
+    return begun.withColumn(number, F.explode(F.sequence(F.col(start), F.least(F.col(start) + (step - 1), F.col(count).cast("long"))))).drop(start)
+
+
 class Scratch:
     """Tables in the shared folder that are dropped once what was made from them is a table itself."""
 

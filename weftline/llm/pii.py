@@ -5,8 +5,9 @@ identifiers. A local parser expands each anchor to the left and right and valida
 restart inside what they have consumed and use possessive patterns, so the time is linear in the text.
 
 Kinds email, ip, card and phone are found exactly as leftmost, non-overlapping matches of their grammars. The
-method adds two kinds: ``account`` (an identifier after a cue such as IBAN or account number) and ``address`` (a
-URL that carries user information, or a mailto link). Added spans never remove base spans.
+method adds three kinds: ``account`` (an identifier after a cue such as IBAN or account number), ``address`` (a URL
+that carries user information, or a mailto link) and ``secret`` (a value with letters and digits that is assigned after
+a cue such as password or token, a key with a known prefix, the head of a private key). Added spans never remove base spans.
 
 Defined results: a null or empty text has no spans; offsets are code points, the end exclusive; repeated rows are
 reported each; an empty table gives an empty table; other columns are ignored.
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from weftline.llm.common import table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "account", "address")
+ADDED_KINDS = ("account", "address", "secret")
+KINDS = (*BASE_KINDS, *ADDED_KINDS)
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -38,6 +40,13 @@ CUES = ("account number", "account no", "account", "acct", "iban", "konto", "kon
 ACCOUNT = re.compile(r"(?:[\x20\t]*(?:number|no|nr|id)\b)?[\x20\t]*[.:#=]{0,2}[\x20\t]*([A-Za-z]{0,4}[0-9](?:[A-Za-z0-9]|[\x20-](?=[0-9]))+)", re.I)
 IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}")
 ADDRESS = re.compile(r"[^\s/?#@<>\"]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?")
+MAILTO = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: Cues of secrets that are assigned, and prefixes of keys with what follows them.
+ASSIGNED = ("password", "passwd", "pwd", "passphrase", "token", "secret", "api_key", "api-key", "api key", "apikey", "access_key", "access key", "private_key", "credential")
+PREFIXES = {"AKIA": r"[A-Z0-9]{16}", "ASIA": r"[A-Z0-9]{16}", "ghp_": r"[A-Za-z0-9]{36}", "github_pat_": r"[A-Za-z0-9_]{22,}", "sk_live_": r"[A-Za-z0-9]{16,}", "xoxb-": r"[A-Za-z0-9-]{20,}", "xoxp-": r"[A-Za-z0-9-]{20,}", "AIza": r"[A-Za-z0-9_-]{35}"}
+PRIVATE = re.compile(r"(?:[A-Z]+ ){0,2}PRIVATE KEY-----")
+VALUE = re.compile(r"(?:[_-]?(?:key|id|value))?[\"']?[\x20\t]*(?:=>|:=|[=:])[\x20\t]*[\"']?([A-Za-z0-9_.~+/$!%*-]{8,}+=*)")
+KEYS = {prefix: re.compile(rest) for prefix, rest in PREFIXES.items()}
 
 
 def automaton():
@@ -52,6 +61,14 @@ def automaton():
     for cue in CUES:
         for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
             found.add_word(form, ("cue", len(form)))
+    for form in ("mailto:", "Mailto:", "MAILTO:"):
+        found.add_word(form, ("mailto", len(form)))
+    for cue in ASSIGNED:
+        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
+            found.add_word(form, ("assigned", len(form)))
+    for prefix in PREFIXES:
+        found.add_word(prefix, ("key", len(prefix)))
+    found.add_word("-----BEGIN ", ("private", 11))
     found.make_automaton()
     return found
 
@@ -87,9 +104,23 @@ def account_span(text: str, at: int) -> tuple[int, int] | None:
     return None
 
 
+def secret_span(text: str, what: str, at: int, end: int) -> tuple[int, int] | None:
+    """A secret at a cue text[at:end]: a key or the head of a private key with the cue, an assigned value without it."""
+    if what == "private":
+        return (at, m.end()) if (m := PRIVATE.match(text, end)) else None
+    if at and (text[at - 1].isalnum() and what == "key"):
+        return None
+    if what == "key":
+        m = KEYS[text[at:end]].match(text, end)
+        return (at, m.end()) if m and not (m.end() < len(text) and text[m.end()].isalnum()) else None
+    if (m := VALUE.match(text, end)) and any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1]):
+        return m.start(1), m.end(1)
+    return None
+
+
 def spans(text: str, found) -> dict[str, list[tuple[int, int]]]:
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    email_end = ip_end = card_end = account_end = address_end = 0
+    email_end = ip_end = card_end = account_end = address_end = secret_end = 0
     for last, (what, length) in found.iter(text):
         i = last - length + 1
         if what == "digit":
@@ -124,6 +155,14 @@ def spans(text: str, found) -> dict[str, list[tuple[int, int]]]:
             if start < i and (m := ADDRESS.match(text, last + 1)):
                 address_end = m.end()
                 out["address"].append((start, address_end))
+        elif what == "mailto":
+            if i >= address_end and (m := MAILTO.match(text, last + 1)):
+                address_end = m.end()
+                out["address"].append((i, address_end))
+        elif what in ("assigned", "key", "private"):
+            if i >= secret_end and (got := secret_span(text, what, i, last + 1)):
+                secret_end = got[1]
+                out["secret"].append(got)
         elif i >= account_end and (i == 0 or not text[i - 1].isalnum()):
             if got := account_span(text, last + 1):
                 account_end = got[1]
@@ -135,11 +174,11 @@ def joined(found: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> s
     return ",".join(f"{k}:{a}:{b}" for k in kinds for a, b in found[k])
 
 
-SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, " + ", ".join(f"n_{k} long" for k in ADDED_KINDS) + ", n_spans long"
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: key, the counts of the base kinds, their digest and all spans."""
+    """A row per document: key, the counts of the base kinds, their digest, all spans, the counts of the other kinds and of all."""
     one = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     kind = one.schema[key].dataType.simpleString()
 
@@ -151,7 +190,9 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             cols = [batch.column(0)]
             cols += [pa.array([len(g[k]) for g in got], pa.int64()) for k in BASE_KINDS]
             cols += [pa.array([hashlib.sha256(joined(g, BASE_KINDS).encode()).hexdigest() for g in got], pa.string()), pa.array([joined(g, KINDS) for g in got], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[key, *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
+            cols += [pa.array([len(g[k]) for g in got], pa.int64()) for k in ADDED_KINDS]
+            cols += [pa.array([sum(map(len, g.values())) for g in got], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[key, *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", *(f"n_{k}" for k in ADDED_KINDS), "n_spans"])
 
     return one.mapInArrow(work, f"`{key}` {kind}, {SCHEMA}")
 

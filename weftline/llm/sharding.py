@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table, written
+from weftline.llm.common import repeated, table, written
 
 #: Fixed value: multiplier of the jump-hash generator.
 MULTIPLIER = 2862933555777941757
@@ -70,8 +70,7 @@ def layout(docs: DataFrame, key: str = "doc_id", text: str = "text", n_shards: i
     offsets = totals.select("shard", "piece", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("shard", "piece").orderBy(key, "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     placed = groups.join(F.broadcast(offsets), ["shard", "piece"]).withColumn("first", F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy")
-    return placed.select("*", copy).select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("copy")).alias("slot"), "grown_shard")
+    return repeated(placed, "n", "copy").select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("copy") - 1).alias("slot"), "grown_shard")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

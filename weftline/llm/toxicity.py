@@ -12,8 +12,9 @@ on. All texts are scored, whole.
 
 Defined results: a null text is an empty one and gets the score of its features like any other; without both
 classes among the training rows the score is the share of toxic ones (0 without rows); a document labelled twice
-counts as toxic if any label says so, null labels are ignored; repeated rows are scored each; an empty table gives
-an empty table; all columns of the documents stay in ``score``.
+counts as toxic if any label says so, null labels are ignored; of rows that repeat a labelled id the least text is
+trained on; repeated rows are scored each; an empty table gives
+an empty table; all columns of the documents stay in ``score``, but one named like the score's column, which is replaced.
 """
 
 from __future__ import annotations
@@ -189,6 +190,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it can be broadcast
     got = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    got = got.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")  # one row per id, so the bound holds for rows too
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")
     return got.withColumn("half", half)
 
@@ -208,6 +210,7 @@ def learn_lexicons(rows: DataFrame) -> tuple[list[Lexicon], list[tuple[int, int]
     terms = rows.select("text", "toxic", "half").mapInArrow(work, "term string, toxic int, half int").groupBy("term").agg(
         *[F.count_if((F.col("half") == h) & (F.col("toxic") == y)).alias(f"c{h}{y}") for h in (0, 1) for y in (0, 1)]
     )
+    terms = written(terms, "toxicity-terms")  # read by each of the three lexicons
     out = []
     for halves in ((0,), (1,), (0, 1)):
         c1, c0 = (sum((F.col(f"c{h}{y}") for h in halves), F.lit(0)) for y in (1, 0))
