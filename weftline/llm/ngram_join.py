@@ -10,12 +10,17 @@ have larger partners there, in the next.
 
 Documents with equal sets are one class and are joined as one. Segments that two classes share make a run. The run's
 members are assigned to the member that is in most runs (its hub; pairs that share too few signatures are dropped first),
-and all that meet at a hub are compared exactly, in cells of bounded bytes; a cell returns the links that connect its members, not all pairs. Connected components follow
-by rounds of label spreading over tables in the shared folder.
+and all that meet at a hub are compared exactly, in cells of bounded bytes; a cell returns the links that connect its members,
+not all pairs. Where a hub has too many members for one cell, each chunk of them is first compared within itself and with
+the hub. Members that are connected with the hub so need no more; only the others are compared with the other chunks, so a
+group of near copies costs work in proportion to its size. Connected components follow by rounds of label spreading over
+tables in the shared folder.
 
 Defined results: a null or empty text, or one of separators only, has the empty set, links with nothing and is its own
 component; fewer than five words are one shingle; rows that repeat doc_id and text are rows of one class; a null
-doc_id never names a component that has another; an empty table gives an empty table; other columns are ignored.
+doc_id never names a component that has another; an empty table gives an empty table. ``assign`` ignores other columns,
+``deduplicate`` keeps them, whatever their names and types: of each component the row of the smallest doc_id stays (a null
+one only where no other exists), and of rows that repeat doc_id and text one (settled by the other columns but for maps).
 Shingles are compared by 64-bit hashes, classes by 128 bits.
 """
 
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER, UPPER, WORD_CLASS, Scratch, drop_path, new_path, table, written
+from weftline.llm.common import LOWER, SPACE_CLASS, UPPER, WORD_CLASS, Scratch, drop_path, new_path, row_order, table, unused, written
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -37,13 +42,14 @@ PERCENT = 80
 BUCKET_SIGS = 200_000
 CHUNK_BYTES, CHUNK_ROWS = 8_000_000, 2_048
 #: Characters of text that are worked on together.
-AT_ONCE = 1_000_000
+AT_ONCE = 400_000
 #: Signatures beyond H + 1, in hundredths of a set's size, so that linked sets share several.
 EXTRA = 4
 #: Rounds of pruning; each is exact, more of them only leave less to compare.
 ROUNDS = 1
-#: Bits of the filter that finds the texts of candidates; its size is fixed, whatever the input.
-FILTER_BITS = 23
+#: Slots for each candidate in the filter that finds their texts, and the limits of its size, as powers of two. At the upper one
+#: (16 MB) it passes more texts than asked for beyond some 10 million candidates, which costs shuffle but no result.
+SLOTS, LEAST_BITS, MOST_BITS = 64, 16, 27
 
 U = np.uint64
 _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -262,17 +268,39 @@ def runs_of(docs: DataFrame, buckets: int) -> DataFrame:
     return blocks.groupBy("bucket").applyInArrow(meet, "run long, ref long")
 
 
-def compare(got: pa.Table) -> pa.Table:
-    """The links that connect a cell's members, as (a, b) of their class ids, all pairs considered."""
-    cls = got["cls"].to_pylist()
-    sets = [np.frombuffer(x, U) for x in got["hashes"].to_pylist()]
-    links = connect(sets)
-    return pa.table([pa.array([cls[i] for i, _ in links], pa.binary()), pa.array([cls[j] for _, j in links], pa.binary())], names=["a", "b"])
+CELL = "a binary, b binary, hub long, ref long"
 
 
-def connect(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the link graph of sets."""
+def cell_links(cls: list[bytes], links: list[tuple[int, int]], hub: int = 0, apart: list[int] = ()) -> pa.Table:
+    """Links of a cell as (a, b), and the members that it leaves apart from the hub as (hub, ref)."""
+    n, m = len(links), len(apart)
+    return pa.table({
+        "a": pa.array([cls[i] for i, _ in links] + [None] * m, pa.binary()), "b": pa.array([cls[j] for _, j in links] + [None] * m, pa.binary()),
+        "hub": pa.array([None] * n + [hub] * m, pa.int64()), "ref": pa.array([None] * n + list(apart), pa.int64()),
+    })
+
+
+def compare_chunk(got: pa.Table) -> pa.Table:
+    """The links that connect a chunk's members, all pairs considered; of a hub with more chunks also who is not connected with the hub."""
+    cls, ref = got["cls"].to_pylist(), got["ref"].to_pylist()
+    links, root = connect([np.frombuffer(x, U) for x in got["hashes"].to_pylist()])
+    if not got["several"][0].as_py():
+        return cell_links(cls, links)
+    hub = got["hub"][0].as_py()
+    near = {root[i] for i, r in enumerate(ref) if r == hub}
+    return cell_links(cls, links, hub, [r for i, r in enumerate(ref) if root[i] not in near])
+
+
+def compare_cell(got: pa.Table) -> pa.Table:
+    """The links that connect the members that ask with each other and with the rest of the cell."""
+    links, _ = connect([np.frombuffer(x, U) for x in got["hashes"].to_pylist()], got["asks"].to_numpy(zero_copy_only=False))
+    return cell_links(got["cls"].to_pylist(), links)
+
+
+def connect(sets: list[np.ndarray], asks: np.ndarray | None = None) -> tuple[list[tuple[int, int]], list[int]]:
+    """A spanning forest of the link graph of sets, and each one's root; with ``asks`` of the links that one who asks has."""
     n = len(sets)
+    asks = np.ones(n, bool) if asks is None else asks
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(n), size)
     tokens = np.concatenate(sets)
@@ -296,7 +324,7 @@ def connect(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         return i
 
     links = []
-    for i in range(n):
+    for i in np.flatnonzero(asks).tolist():
         mine = held[first[i] : first[i + 1]]
         if 100 * len(mine) < PERCENT * size[i]:
             continue
@@ -305,12 +333,13 @@ def connect(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         at = np.repeat(counts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(total)
         common = np.bincount(owner[at], minlength=n)
         union = size[i] + size - common
-        for j in np.flatnonzero((100 * common >= PERCENT * union) & (np.arange(n) < i)).tolist():
+        other = ~asks | (np.arange(n) < i)  # those that ask too are met once
+        for j in np.flatnonzero((100 * common >= PERCENT * union) & other).tolist():
             a, b = find(i), find(j)
             if a != b:
                 root[max(a, b)] = min(a, b)
                 links.append((i, j))
-    return links
+    return links, [find(i) for i in range(n)]
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -377,12 +406,12 @@ def meeting_points(runs: DataFrame, classes: DataFrame, scratch: Scratch) -> Dat
     return large.join(hubs, "run").select("hub", "ref").unionByName(two).distinct()
 
 
-def slots_of(keys: DataFrame, column: str) -> np.ndarray:
-    """A bit map of fixed size with the low bits of the keys set: built in parts, so the driver gets 2 ** FILTER_BITS bits at most."""
-    slot = F.col(column).bitwiseAND((1 << FILTER_BITS) - 1)
+def slots_of(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit map with the low bits of the keys set: built in parts, so the driver gets 2 ** MOST_BITS bits at most."""
+    slot = F.col(column).bitwiseAND((1 << bits) - 1)
     words = keys.select(F.shiftright(slot, 5).cast("int").alias("word"), slot.bitwiseAND(31).cast("int").alias("at"))
     got = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    out = np.zeros(1 << (bits - 5), np.uint32)
     out[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
     return out
 
@@ -403,11 +432,12 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         runs = scratch.written(pruned(runs, extras), "runs-pruned")
     meets = scratch.written(meeting_points(runs, classes, scratch), "meets")
     wanted = scratch.written(classes.join(meets.select("ref").distinct(), "ref", "left_semi").select("cls", F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")), "candidates")
-    shipped = spark.sparkContext.broadcast(slots_of(wanted, "text_key"))
+    size = min(MOST_BITS, max(LEAST_BITS, int(SLOTS * wanted.count()).bit_length()))
+    shipped = spark.sparkContext.broadcast(slots_of(wanted, "text_key", size))
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sets of the texts that may be wanted; the others do not leave their task."""
-        bits, low = shipped.value, np.int64((1 << FILTER_BITS) - 1)
+        bits, low = shipped.value, np.int64((1 << size) - 1)
         for batch in batches:
             slot = batch.column(1).to_numpy() & low
             batch = batch.take(pa.array(np.flatnonzero((bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1)))
@@ -428,36 +458,64 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def links_between(meets: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) of class ids: links that connect what meets at each hub, found cell by cell."""
     sizes = sets.groupBy("ref").agg(F.max("n").alias("n"))
+    chunks_of = lambda members, volume: F.greatest(F.ceil(members / CHUNK_ROWS), F.ceil(volume * 8 / CHUNK_BYTES)).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64("ref"), n).cast("int")
     room = meets.join(sizes, "ref").groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("volume"))
-    chunks = F.greatest(F.ceil(F.col("members") / CHUNK_ROWS), F.ceil(F.col("volume") * 8 / CHUNK_BYTES)).cast("int")
-    cells = meets.join(room.select("hub", chunks.alias("chunks")), "hub")
-    own = F.pmod(F.xxhash64("ref"), F.col("chunks")).cast("int")
-    cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = cells.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "ref")
-    filled = cells.join(sets.select("ref", "cls", "hashes"), "ref").select("hub", "i", "j", "cls", "hashes")
-    return scratch.written(filled.groupBy("hub", "i", "j").applyInArrow(compare, "a binary, b binary"), "links").filter("a <> b")
+    # Only hubs with more than one chunk are looked up; there is at most one for each CHUNK_ROWS members or CHUNK_BYTES.
+    large = scratch.written(room.select("hub", "members", chunks_of(F.col("members"), F.col("volume")).alias("chunks")).filter("chunks > 1"), "hubs-large")
+    cells = meets.join(large, "hub", "left").select("hub", "ref", F.when(F.col("chunks").isNull(), 0).otherwise(dealt(F.coalesce("chunks", F.lit(1)))).alias("i"), F.col("chunks").isNotNull().alias("several"))
+    hubs = large.select("hub", F.col("hub").alias("ref"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.lit(True).alias("several"))
+    filled = cells.unionByName(hubs).join(sets.select("ref", "cls", "hashes"), "ref").select("hub", "i", "several", "ref", "cls", "hashes")
+    first = scratch.written(filled.groupBy("hub", "i").applyInArrow(compare_chunk, CELL), "links-chunks")
+    links = first.filter("a <> b").select("a", "b")
+    if not large.limit(1).count():
+        return links
+    # Who is not connected with the hub meets the other chunks; where that is most of them, chunks meet pair by pair.
+    apart = first.filter("ref IS NOT NULL").select("hub", "ref").distinct()
+    rest = apart.join(sizes, "ref").groupBy("hub").agg(F.count(F.lit(1)).alias("left"), F.sum("n").alias("volume"))
+    plan = scratch.written(large.join(rest, "hub").select("hub", "chunks", chunks_of(F.col("left"), F.col("volume")).alias("turns"), (F.col("left") * 2 > F.col("members")).alias("most")), "hubs-apart")
+    members, some = meets.join(plan, "hub"), apart.join(plan.filter("NOT most"), "hub")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = members.filter("NOT most").select("hub", "ref", dealt(F.col("chunks")).alias("i"), upto("turns").alias("j"), F.lit(False).alias("asks"))
+    asking = some.select("hub", "ref", dealt(F.col("turns")).alias("j"), upto("chunks").alias("i"), F.lit(True).alias("asks"))
+    both = members.filter("most").select("hub", "ref", dealt(F.col("chunks")).alias("own"), upto("chunks").alias("other")).filter("own <> other")
+    pairs = both.select("hub", "ref", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") < F.col("other")).alias("asks"))
+    cells = asked.unionByName(asking).unionByName(pairs).join(sets.select("ref", "cls", "hashes"), "ref").select("hub", "i", "j", "asks", "cls", "hashes")
+    second = scratch.written(cells.groupBy("hub", "i", "j").applyInArrow(compare_cell, CELL), "links-cells")
+    return links.unionByName(second.filter("a <> b").select("a", "b"))
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n, root, component_id) of every row of docs."""
+    rows, linked = link(docs)
+    known = rows.join(linked.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = known.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return known.join(least, "root", "left")
 
 
 def assign(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id) of every row of docs."""
-    rows, linked = link(docs)
-    known = rows.join(linked.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = known.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = known.join(least, "root", "left")
-    return named.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    got = named(docs)
+    return got.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each component: that of the component's smallest doc_id; rows without shingles all stay."""
-    got = assign(docs)
-    keep = got.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "text_key").agg(F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows"))
-    keep = keep.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "n", "rows")
-    keyed = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    on = (F.col("__text") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    plain = keyed.join(keep.filter("n = 0 OR rows = 1").select("__id", "__key"), on, "left_semi").select(*docs.columns)
-    again = keyed.join(keep.filter("n > 0 AND rows > 1").select("__id", "__key"), on, "left_semi")
-    one = again.groupBy("doc_id", "__text").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*").select(*docs.columns)
-    return plain.unionByName(one)
+    own, wid, wkey, pick = unused(docs.columns, "__text", "__id", "__key", "__row")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    got = written(named(docs).filter("n > 0").groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows")), "components")
+    keep = got.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id"), F.col("text_key"), F.col("rows"))).alias("at"))
+    keep = written(keep.select(F.col("at.doc_id").alias(wid), F.col("at.text_key").alias(wkey), F.col("at.rows").alias("rows")), "survivors")
+    worded = F.coalesce(F.regexp_replace("text", SPACE_CLASS + "+", "") != "", F.lit(False))
+    keyed = docs.filter(worded).withColumn(own, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        return keyed.join(some, (keyed[own] == some[wkey]) & keyed["doc_id"].cast("long").eqNullSafe(some[wid]), "left_semi")
+
+    plain = rows_of(keep.filter("rows = 1").select(wid, wkey)).select(*columns)
+    again = rows_of(keep.filter("rows > 1").select(wid, wkey)).groupBy("doc_id", own).agg(F.min_by(F.struct(*columns), row_order(docs)).alias(pick))
+    one = again.select(*[F.col(pick)[c].alias(c) for c in docs.columns])
+    return docs.filter(~worded).union(plain).union(one)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
