@@ -63,7 +63,7 @@ def series(spark, values):
 
 def test_smoothing_and_streaks(spark):
     w = windows.series(["item"])
-    got = column(series(spark, [3, 0, 9, 4, 4]).withColumn("s", windows.smoothed(w, "x")).orderBy("t"), "s")
+    got = column(windows.smoothed(series(spark, [3, 0, 9, 4, 4]), ["item"], "x", "s").orderBy("t"), "s")
     assert got[0] is None and [round(v, 6) for v in got[1:]] == [3, 2.1, 4.17, 4.119]
     df = windows.streak_before(series(spark, [0, 0, 5, 0, 0, 0]), w, F.col("x") == 0, "n")
     assert column(df.orderBy("t"), "n") == [None, 1, 2, 0, 1, 2]
@@ -76,7 +76,8 @@ def test_no_feature_sees_its_own_period(spark, changed):
 
     def features(values):
         df = windows.trends(windows.rolling(windows.lags(series(spark, values), w, ["x"]), w, "x"), w, "x")
-        df = windows.streak_before(df, w, F.col("x") > 0, "n").withColumn("s", windows.smoothed(w, "x")).withColumn("f", windows.frequency_before(w, F.col("x") > 2)).withColumn("l", windows.since_last(w, "t", F.col("x") > 0))
+        df = windows.streak_before(df, w, F.col("x") > 0, "n").withColumn("f", windows.frequency_before(w, F.col("x") > 2)).withColumn("l", windows.since_last(w, "t", F.col("x") > 0))
+        df = windows.smoothed(df, ["item"], "x", "s")
         return [tuple(r)[3:] for r in df.filter(F.col("t") <= changed).orderBy("t").collect()]
 
     base = [1, 0, 3, 2, 0, 6]

@@ -24,11 +24,21 @@ def asof(probes: DataFrame, events: DataFrame, key: str, at: str, state: str, di
 
 
 def classify_gaps(probes: DataFrame, events: DataFrame, key: str, at: str, state: str) -> DataFrame:
-    """Probes with gap_class and filled state: recorded, carried forward, not yet launched or never tracked."""
-    got = asof(asof(probes, events, key, at, state, "backward", "__back"), events, key, at, state, "forward", "__ahead")
-    got = got.join(events.select(key, at, F.col(state).alias("__own")), [key, at], "left")
-    kind = F.when(F.col("__own").isNotNull(), "recorded").when(F.col("__back").isNotNull(), "carried_forward").when(F.col("__ahead").isNotNull(), "not_yet_launched").otherwise("never_tracked")
-    return got.withColumn("gap_class", kind).withColumn("filled", F.coalesce("__own", "__back")).withColumn("has_record", F.col("__own").isNotNull().cast("int")).drop("__back", "__ahead", "__own")
+    """Probes with gap_class and filled state: recorded, carried forward, not yet launched or never tracked.
+
+    One union and one shuffle by key serve the look back, the look ahead and the event at the probe itself.
+    """
+    kind = events.schema[state].dataType
+    both = probes.withColumn("__state", F.lit(None).cast(kind)).withColumn("__probe", F.lit(True))
+    both = both.unionByName(events.select(key, at, F.col(state).alias("__state"), F.lit(False).alias("__probe")), allowMissingColumns=True)
+    back = Window.partitionBy(key).orderBy(F.col(at).asc(), F.col("__probe").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(key).orderBy(F.col(at).desc(), F.col("__probe").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("__state").isNotNull(), F.struct(F.col(at).alias("at"), F.col("__state").alias("state"))), ignorenulls=True)
+    got = both.withColumns({"__back": last.over(back), "__ahead": last.over(ahead)}).filter("__probe")
+    own = F.when(F.col("__back.at") == F.col(at), F.col("__back.state"))
+    named = F.when(own.isNotNull(), "recorded").when(F.col("__back").isNotNull(), "carried_forward").when(F.col("__ahead").isNotNull(), "not_yet_launched").otherwise("never_tracked")
+    got = got.withColumns({"gap_class": named, "filled": F.col("__back.state"), "has_record": own.isNotNull().cast("int")})
+    return got.drop("__state", "__probe", "__back", "__ahead")
 
 
 def lifecycle(states: DataFrame, key: str, t: str, state: str, watched: list[str]) -> DataFrame:

@@ -27,7 +27,7 @@ def errors(df: DataFrame, keys: list[str], actual: str, forecast: str) -> DataFr
     e, y = F.col(forecast) - F.col(actual), F.col(actual).cast("double")
     got = df.groupBy(*keys).agg(
         F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (F.try_divide(F.sum(F.abs(e)), F.sum(F.abs(y))) * 100).alias("wape"),
-        F.sum(e * e).alias("__res"), (F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y)).alias("__tot"),
+        F.sum(e * e).alias("__res"), (F.var_pop(y) * F.count(y)).alias("__tot"),
     )
     return got.withColumn("r2", F.when(F.col("__tot") > 0, 1 - F.col("__res") / F.col("__tot"))).drop("__res", "__tot")
 

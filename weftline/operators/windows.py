@@ -1,4 +1,4 @@
-"""Window features of a panel. All use one specification per call, so Spark sorts and shuffles once for them.
+"""Window features of a panel. Features over the same keys share one shuffle and one sort where a query takes them together.
 
 Lags mean the previous observed period. Features of a period only use earlier periods.
 """
@@ -38,7 +38,7 @@ def rolling(df: DataFrame, w: WindowSpec, c: str) -> DataFrame:
 
 def trends(df: DataFrame, w: WindowSpec, c: str) -> DataFrame:
     a, b = F.lag(c, 1).over(w), F.lag(c, 2).over(w)
-    return df.withColumns({f"{c}_momentum": a - b, f"{c}_growth": F.try_divide(a - b, b + 1), f"{c}_trend": F.avg(c).over(before(w, 2)) - F.avg(c).over(before(w, 3))})
+    return df.withColumns({f"{c}_momentum": a - b, f"{c}_growth": F.try_divide(a, b + 1), f"{c}_trend": F.avg(c).over(before(w, 3)) - F.avg(c).over(before(w, 2))})
 
 
 def streak_before(df: DataFrame, w: WindowSpec, flag: Column, name: str) -> DataFrame:
@@ -70,10 +70,19 @@ def ever_before(w: WindowSpec, flag: Column) -> Column:
     return F.coalesce(F.max(flag.cast("int")).over(past(w)), F.lit(0))
 
 
-def smoothed(w: WindowSpec, c: str, alpha: float = 0.3) -> Column:
-    """Simple exponential smoothing of the earlier values, started at the first."""
-    history = F.collect_list(F.col(c).cast("double")).over(past(w))
-    return F.aggregate(history, F.lit(None).cast("double"), lambda a, x: F.coalesce(F.lit(1 - alpha) * a + F.lit(alpha) * x, x))
+def smoothed(df: DataFrame, keys: list[str], c: str, out: str = "ses", alpha: float = 0.3, t: str = "t") -> DataFrame:
+    """df with the simple exponential smoothing of the earlier values of c, started at the first; null in the first period.
+
+    A key's series is gathered once, scanned in the order of t and laid out again, so a step costs one pass.
+    """
+    rest = [x for x in df.columns if x not in [*keys, t]]
+    rows = F.array_sort(F.collect_list(F.struct(F.col(t), F.struct(*rest).alias("rest"))))
+    value = lambda r: r["rest"][c].cast("double")
+    state = F.struct(F.lit(None).cast("double").alias("level"), F.array().cast("array<double>").alias("levels"))
+    step = lambda s, r: F.struct(F.coalesce(F.lit(1 - alpha) * s["level"] + F.lit(alpha) * value(r), value(r)).alias("level"), F.concat(s["levels"], F.array(s["level"])).alias("levels"))
+    series_ = df.groupBy(*keys).agg(rows.alias("__rows"))
+    each = series_.select(*keys, F.explode(F.arrays_zip(F.col("__rows").alias("r"), F.aggregate("__rows", state, step, lambda s: s["levels"]).alias("s"))).alias("__e"))
+    return each.select(*keys, F.col("__e.r")[t].alias(t), *[F.col("__e.r.rest")[x].alias(x) for x in rest], F.col("__e.s").alias(out)).select(*df.columns, out)
 
 
 def share_of_total(part: Column, total: Column) -> Column:
@@ -95,9 +104,10 @@ def batches(df: DataFrame, order: list[str], size: int = 15, coarse: Column | No
     """batch and id in batch (0-based), rows taken by (coarse, order).
 
     Rows are numbered inside each value of coarse and offset by the counts before it, so no task sorts all rows; by
-    default coarse is one of 64 hash classes, a coarse part of the order itself keeps the order global.
+    default coarse is one of 1,024 hash classes, a coarse part of the order itself keeps the order global. The offsets come
+    from one row per value of coarse, in one task, so coarse should have thousands of values, not millions.
     """
-    part = coarse if coarse is not None else F.pmod(F.xxhash64(*order), F.lit(64))
+    part = coarse if coarse is not None else F.pmod(F.xxhash64(*order), F.lit(1024))
     df = df.withColumn("__part", part)
     counts = df.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     offset = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
