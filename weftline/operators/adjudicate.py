@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.windows import batches
@@ -37,6 +37,19 @@ def split_by_cache(pool: DataFrame, log: DataFrame, key: str = "key") -> tuple[D
     return pool.join(known, key, "left_semi"), pool.join(known, key, "left_anti").dropDuplicates([key])
 
 
+def purge_log(spark: SparkSession, path: str, to: str, dry_run: bool = False) -> tuple[int, int]:
+    """(failed, total) of the log under path; unless dry_run, or where none failed, the log without them is written to ``to``.
+
+    The log under path stays as it is and so is the backup. One log a call: match and parse logs are purged apart.
+    """
+    log = spark.read.schema(LOG).json(path)
+    kept, counts = purge_failed(log)
+    row = counts.first()
+    if row["failed"] and not dry_run:
+        kept.write.json(to)
+    return row["failed"], row["total"]
+
+
 def purge_failed(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(log without failed records, counts) for a new version of the log; nothing is overwritten."""
     return log.filter(~F.col("decision").eqNullSafe(F.lit(FAILED))), log.agg(F.count_if(F.col("decision") == FAILED).alias("failed"), F.count(F.lit(1)).alias("total"))
@@ -63,9 +76,9 @@ def is_network_error(message: Column) -> Column:
     return F.lower(message).rlike("|".join(m.replace(".", r"\.") for m in NETWORK_MARKERS))
 
 
-def requests(pool: DataFrame, order: list[str], size: int = 15) -> DataFrame:
+def requests(pool: DataFrame, order: list[str], size: int = 15, coarse: Column | None = None) -> DataFrame:
     """(batch, size, request, keys, candidates): JSON requests of at most ``size`` items; pool has key, name, candidates."""
-    rows = batches(pool, order, size)
+    rows = batches(pool, order, size, coarse)
     item = F.struct("id", "name", "candidates", "key")
     got = rows.groupBy("batch").agg(F.sort_array(F.collect_list(item)).alias("items"))
     return got.select(

@@ -18,7 +18,7 @@ from weftline.functions import text as tx
 
 DIGITS = 6
 HIGH, MEDIUM = 90, 70
-BLOCK_ROWS = 4096
+BLOCK_ROWS, TURN_QUERIES = 4096, 4096
 
 
 def gram_counts(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -56,14 +56,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_topk(catalog: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, k: int = 8, exclude_self: bool = False) -> DataFrame:
-    """(query_key, key, score, rank) by cosine: each query visits every block of catalog rows, matrix by matrix."""
-    n = catalog.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    left = catalog.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    right = queries.select(F.col(query_key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    """(query_key, key, score, rank) by cosine: turns of at most about TURN_QUERIES queries visit each block of catalog rows,
+    matrix by matrix, so neither side of a task grows with the tables.
+    """
+    blocks, turns = max(1, -(-catalog.count() // BLOCK_ROWS)), max(1, -(-queries.count() // TURN_QUERIES))
+    one = lambda df, c, own, many, other: df.select(F.col(c).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(c), F.lit(many[0])).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(many[1] - 1))).alias(other))
+    left, right = one(catalog, key, "block", (blocks, turns), "turn"), one(queries, query_key, "turn", (turns, blocks), "block")
 
     def unit(x: pa.ChunkedArray) -> np.ndarray:
-        m = np.array(x.to_pylist(), float)
+        m = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in x.chunks]).astype(float).reshape(len(x), -1)
         norm = np.linalg.norm(m, axis=1, keepdims=True)
         return m / np.where(norm > 0, norm, 1.0)
 
@@ -71,9 +72,9 @@ def dense_topk(catalog: DataFrame, queries: DataFrame, key: str, query_key: str,
         ids, scores, asked = [], [], []
         if q.num_rows and c.num_rows:
             order = np.argsort(c["id"].to_numpy())
-            cid, cv, qid = c["id"].to_numpy()[order], unit(c["v"])[order], q["id"].to_numpy()
+            cid, cv, qid, qv = c["id"].to_numpy()[order], unit(c["v"])[order], q["id"].to_numpy(), unit(q["v"])
             for a in range(0, len(qid), 512):
-                s = np.round(unit(q["v"].slice(a, 512)) @ cv.T, DIGITS)
+                s = np.round(qv[a : a + 512] @ cv.T, DIGITS)
                 if exclude_self:
                     s[qid[a : a + 512, None] == cid[None, :]] = -2.0
                 best = np.argsort(-s, axis=1, kind="stable")[:, :k]
@@ -83,7 +84,7 @@ def dense_topk(catalog: DataFrame, queries: DataFrame, key: str, query_key: str,
         cat = lambda xs, t: np.concatenate(xs) if xs else np.empty(0, t)
         return pa.table([pa.array(cat(asked, np.int64), pa.int64()), pa.array(cat(ids, np.int64), pa.int64()), pa.array(cat(scores, float), pa.float64())], names=[query_key, key, "score"])
 
-    got = right.groupBy("block").cogroup(left.groupBy("block")).applyInArrow(search, f"{query_key} long, {key} long, score double")
+    got = right.groupBy("block", "turn").cogroup(left.groupBy("block", "turn")).applyInArrow(search, f"{query_key} long, {key} long, score double")
     return top(got.filter("score > -2"), query_key, key, k)
 
 

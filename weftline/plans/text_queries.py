@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
-from weftline.operators import adjudicate, matching, reshape, windows
+from weftline.operators import adjudicate, embedding, matching, reshape, windows
 from weftline.sources import tables
+from weftline.sources.shared import new_path, written
 from weftline.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -137,16 +138,61 @@ def dedup_catalog(spark, d):
     return got.withColumn("row_ids", F.array_join("row_ids", ","))
 
 
-NAMES = ["Panadol Extra 24 Tablets", "BRAND SEAS SYRUP 120 ML", "VIAGRA 50 MG 8 TAB", "HAEMOJET 100MG IM 6 AMP", "ANISOL 20CAP", "MOVICOL ADULT 20 SACHETS", "ALECO CARE CREAM 60GRAM", "BETADINE 10% ANTISEPTIC SOL 200ML", "PENCITARD 1.2MIU VIAL", "SYNTOCINON", "POVIDIN ANTISEPTIC 10% 100ML"]
+#: Names of the usual shapes: a number before the form, an amount after it, a strength, a flavour, noise, no form at all.
+NAMES = ["Alphadol Plus 24 Tablets", "BRAND HILLS SYRUP 120 ML", "BETAGRA 50 MG 8 TAB", "GAMMAJET 100MG IM 6 AMP", "DELTOL 20CAP", "EPSICOL JUNIOR 20 SACHETS", "ZETA CARE CREAM 60GRAM", "ETADINE 10% CLEAN SOL 200ML", "THETARD 1.2MIU VIAL", "IOTACINON", "KAPPIDIN CLEAN 10% 100ML", "LAMBDA MINT LOZENGES 12", "MUVIT ORANGE EFF TAB 15 /// X9 20% OFF"]
 
 
-@query("extract_fields_regex")
-def extract_fields_regex(spark, d):
+def product_names(spark, d) -> DataFrame:
+    """Part names as product names, a form and a pack size derived from the row, and the literal ones under negative keys."""
     literal = spark.createDataFrame([(-i - 1, n) for i, n in enumerate(NAMES)], "p_partkey long, name string")
-    # Part names as product names: a form and a pack size derived from the row.
     forms = F.array(*[F.lit(x) for x in ("TAB", "SYRUP 120 ML", "CREAM 60GRAM", "VIAL", "MINT LOZENGES", "")])
     made = part_names(spark, d).withColumn("name", F.concat_ws(" ", F.upper("name"), F.concat(F.col("p_partkey") % 500, F.lit("MG")), (F.col("p_partkey") % 30 + 1).cast("string"), F.get(forms, (F.col("p_partkey") % 6).cast("int"))))
-    got = tx.extract_fields(literal.unionByName(made), "name")
+    return literal.unionByName(made)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _before(x: str, pattern: str) -> str:
+    """Position of a pattern's first match in SQL, 0 where there is none."""
+    return f"CASE WHEN regexp_matches({x}, {pattern}) THEN length(regexp_extract({x}, '(?is)^(.*?)' || {pattern}, 1)) + 1 ELSE 0 END"
+
+
+def _cut(x: str, at: str, length: str) -> str:
+    return f"trim(substr({x}, 1, {at} - 1) || ' ' || substr({x}, {at} + {length}))"
+
+
+def parser_sql() -> str:
+    """The field parser by joining every name with the table of forms and keeping the leftmost."""
+    noise = "name"
+    for pattern in tx.NOISE:
+        noise = f"regexp_replace({noise}, {_quoted(pattern)}, ' ', 'g')"
+    forms = ", ".join(f"({i}, {_quoted(n)}, {_quoted(f'(?i){tx.NUMBER}' + chr(92) + f's*(?:{sp})' + chr(92) + 'b')}, {_quoted('(?i)' + chr(92) + f'b(?:{sp})' + chr(92) + 'b')}, {_quoted(u)}, {str(m).lower()})" for i, (n, sp, u, m) in enumerate(tx.FORMS))
+    measured, strength, words = _quoted(tx.MEASURED), _quoted(tx.STRENGTH), _quoted("(?i)" + chr(92) + "b(" + "|".join(tx.FLAVOURS) + ")" + chr(92) + "b")
+    made = "upper(name) || ' ' || (p_partkey % 500) || 'MG ' || (p_partkey % 30 + 1) || ' ' || ['TAB', 'SYRUP 120 ML', 'CREAM 60GRAM', 'VIAL', 'MINT LOZENGES', ''][p_partkey % 6 + 1]"
+    literal = ", ".join(f"({-i - 1}, {_quoted(n)})" for i, n in enumerate(NAMES))
+    first_cut = f"CASE WHEN by_measure THEN {_cut('x', 'm_at', 'length(m_text)')} WHEN by_tail THEN {_cut('x', 'pos', 'size + length(tail)')} WHEN form IS NOT NULL THEN {_cut('x', 'pos', 'size')} ELSE x END"
+    return f"""{PART_NAMES}, named AS (SELECT * FROM (VALUES {literal}) v(p_partkey, name) UNION ALL SELECT p_partkey, {made} FROM n),
+    clean AS (SELECT p_partkey, trim({noise}) AS x FROM named), forms AS (SELECT * FROM (VALUES {forms}) f(ord, form, numbered, bare, unit, measured)),
+    hits AS (SELECT p_partkey, ord, form, bare, unit, measured, regexp_matches(x, numbered) AS has, CASE WHEN regexp_matches(x, numbered) THEN {_before('x', 'numbered')} ELSE {_before('x', 'bare')} END AS pos,
+      CASE WHEN regexp_matches(x, numbered) THEN regexp_extract(x, numbered, 0) ELSE regexp_extract(x, bare, 0) END AS hit, CASE WHEN regexp_matches(x, numbered) THEN regexp_extract(x, numbered, 1) END AS amount
+      FROM clean CROSS JOIN forms WHERE regexp_matches(x, numbered) OR regexp_matches(x, bare)),
+    leftmost AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY pos, ord) = 1),
+    f0 AS (SELECT clean.p_partkey, x, form, bare, unit, measured, pos, length(hit) AS size, amount, {_before('x', measured)} AS m_at, regexp_extract(x, {measured}, 0) AS m_text, regexp_extract(x, {measured}, 1) AS m_amount,
+      nullif(regexp_extract(substr(x, pos + length(hit), 6), '^\\s*\\d+(?:\\.\\d+)?', 0), '') AS tail FROM clean LEFT JOIN leftmost USING (p_partkey)),
+    f1 AS (SELECT *, coalesce(measured AND m_at > 0, false) AS by_measure, coalesce(NOT measured AND amount IS NULL AND tail IS NOT NULL, false) AS by_tail FROM f0),
+    f2 AS (SELECT *, CASE WHEN by_measure THEN m_amount WHEN NOT measured THEN coalesce(amount, trim(tail)) END AS pack_size, {first_cut} AS cut FROM f1),
+    f3 AS (SELECT *, regexp_replace(CASE WHEN (by_measure OR by_tail) AND regexp_matches(cut, bare) THEN {_cut('cut', '(' + _before('cut', 'bare') + ')', 'length(regexp_extract(cut, bare, 0))')} ELSE cut END, {strength}, ' ', 'g') AS rest FROM f2),
+    f4 AS (SELECT *, nullif(regexp_extract(rest, {words}, 1), '') AS fl, CASE WHEN regexp_matches(rest, {words}) THEN {_cut('rest', '(' + _before('rest', words) + ')', f'length(regexp_extract(rest, {words}, 0))')} ELSE rest END AS nm FROM f3),
+    f5 AS (SELECT *, nullif(regexp_replace(regexp_replace(regexp_replace(nm, '[\\-/,]+\\s*$|^\\s*[\\-/,]+', ' ', 'g'), '\\s+', ' ', 'g'), '^[ \\-/,]+|[ \\-/,]+$', '', 'g'), '') AS trade_name,
+      array_to_string(list_transform(string_split(lower(fl), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS flavour FROM f4),
+    f6 AS (SELECT *, CASE WHEN form IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN pack_size IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN length(trade_name) >= 2 THEN 3 ELSE 0 END AS points FROM f5)"""
+
+
+@query("extract_fields_regex", f"WITH {parser_sql()} SELECT p_partkey, trade_name, form AS dosage_form, pack_size, unit AS unit_of_measure, flavour, points / 10.0::DOUBLE AS confidence, points < 7 AS needs_review FROM f6")
+def extract_fields_regex(spark, d):
+    got = tx.extract_fields(product_names(spark, d), "name")
     return got.select("p_partkey", "trade_name", "dosage_form", "pack_size", "unit_of_measure", "flavour", "confidence", "needs_review")
 
 
@@ -227,24 +273,58 @@ def cosine_pairs(spark, d):
     return e.join(b, F.col("vec_id") == F.col("a")).select("a", "b", F.round(matching.cosine(F.col("embedding"), F.col("v")), 6).alias("score"))
 
 
-@query("hybrid_candidates", f"WITH {TFIDF}, {DENSE}, u AS (SELECT query_id, id FROM sparse WHERE rank <= 8 UNION SELECT query_id, id FROM dense WHERE rank <= 8) SELECT query_id, array_to_string(list(id ORDER BY id), ',') AS candidates FROM u GROUP BY query_id")
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+EMBEDDED = f"""{TFIDF}, lt AS (SELECT string_split('{LETTERS}', '') AS letters),
+  ce AS (SELECT id, list_transform(letters, lambda c: CAST(length(name) - length(replace(name, c, '')) AS DOUBLE)) AS v FROM cat CROSS JOIN lt), qe AS (SELECT query_id, list_transform(letters, lambda c: CAST(length(name) - length(replace(name, c, '')) AS DOUBLE)) AS v FROM q CROSS JOIN lt),
+  es AS (SELECT query_id, id, round(list_cosine_similarity(qe.v, ce.v), 6) AS score FROM qe CROSS JOIN ce), near AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM es),
+  u AS (SELECT query_id, id FROM sparse WHERE rank <= 8 UNION SELECT query_id, id FROM near WHERE rank <= 8)"""
+
+
+def embedded(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Catalog and queries with vectors from the injected client; the catalog's are cached under a guard."""
+    c, q = catalog(spark, d), asked(spark, d)
+    vectors = embedding.cached(c, "id", "name", embedding.letter_counts, new_path(spark, "embedding-guard"), "letters")
+    return vectors, embedding.embed(q, "query_id", "name", embedding.letter_counts)
+
+
+@query("name_embedding_topk", f"WITH {EMBEDDED} SELECT query_id, id, score, rank FROM near WHERE rank <= 8")
+def name_embedding_topk(spark, d):
+    c, q = embedded(spark, d)
+    return matching.dense_topk(c, q, "id", "query_id", "embedding")
+
+
+def candidates(spark, d) -> DataFrame:
+    return matching.union_candidates(tfidf_topk(spark, d), name_embedding_topk(spark, d), query_key="query_id", key="id")
+
+
+@query("hybrid_candidates", f"WITH {EMBEDDED} SELECT query_id, array_to_string(list(id ORDER BY id), ',') AS candidates FROM u GROUP BY query_id")
 def hybrid_candidates(spark, d):
-    got = matching.union_candidates(tfidf_topk(spark, d), _dense(spark, d), query_key="query_id", key="id")
-    return got.select("query_id", F.array_join("candidates", ",").alias("candidates"))
+    """Both retrievers for the same names; their union is what the re-ranking reads."""
+    return candidates(spark, d).select("query_id", F.array_join("candidates", ",").alias("candidates"))
 
 
 def matched(spark, d) -> DataFrame:
-    c, q = catalog(spark, d), asked(spark, d)
-    found = matching.union_candidates(matching.sparse_topk(c, q, "id", "query_id", "name"), query_key="query_id", key="id")
-    return matching.rerank(q, c, found, "query_id", "id", "name")
+    return matching.rerank(asked(spark, d), catalog(spark, d), candidates(spark, d), "query_id", "id", "name")
 
 
-@query("token_sort_ratio_best")
+_SORTED = "array_to_string(list_sort(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: length(w) > 0)), ' ')"
+# The longest common subsequence row by row: rows are lists, each further element of the list is one character of the other text.
+_STEP = "list_transform(range(1, len(a) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(acc[i], coalesce(acc[i - 1], 0) + CASE WHEN a[i] = x[1] THEN 1 ELSE 0 END))))"
+RERANKED = f"""{EMBEDDED}, pr AS (SELECT u.query_id, u.id, cat.name AS cname, {_SORTED.format(x='q.name')} AS qs, {_SORTED.format(x='cat.name')} AS cs FROM u JOIN q ON q.query_id = u.query_id JOIN cat ON cat.id = u.id),
+  ch AS (SELECT *, list_transform(string_split(qs, ''), lambda c: unicode(c)) AS a, list_transform(string_split(cs, ''), lambda c: [unicode(c)]) AS b FROM pr),
+  rt AS (SELECT query_id, id, cname, 200.0::DOUBLE * list_reduce(list_concat([list_transform(a, lambda c: 0)], b), lambda acc, x: {_STEP})[-1] / (len(a) + len(b)) AS score FROM ch),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM rt),
+  bst AS (SELECT query_id, arg_min(cname, rank) AS best_match, arg_min(score, rank) AS best_score, array_to_string(list(cname ORDER BY rank), '|') AS top_names FROM rk WHERE rank <= 3 GROUP BY query_id),
+  mt AS (SELECT q.query_id, q.name, best_match, coalesce(best_score, 0) AS best_score, top_names, CASE WHEN coalesce(best_score, 0) >= 90 THEN 'HIGH_AUTO_ACCEPT' WHEN coalesce(best_score, 0) >= 70 THEN 'MEDIUM_LLM_REVIEW' ELSE 'LOW_NO_MATCH' END AS tier FROM q LEFT JOIN bst USING (query_id))"""
+
+
+@query("token_sort_ratio_best", f"WITH {RERANKED} SELECT query_id, name, best_match, round(best_score, 4) AS best_score, tier, top_names FROM mt")
 def token_sort_ratio_best(spark, d):
-    return matched(spark, d).select("query_id", "name", "best_match", F.round("best_score", 4).alias("best_score"), "tier", F.to_json("top_candidates").alias("top_candidates"))
+    names = F.array_join(F.transform("top_candidates", lambda c: c["name"]), "|")
+    return matched(spark, d).select("query_id", "name", "best_match", F.round("best_score", 4).alias("best_score"), "tier", names.alias("top_names"))
 
 
-@query("tier_distribution")
+@query("tier_distribution", f"WITH {RERANKED} SELECT tier AS value, CAST(count(*) AS BIGINT) AS n, round(count(*) / (SELECT count(*) FROM mt), 6) AS share FROM mt GROUP BY tier")
 def tier_distribution(spark, d):
     return reshape.shares(matched(spark, d), "tier")
 
@@ -268,14 +348,19 @@ RESPONSES = [
     (8, 2, '[{"id":0,"decision":"NO_MATCH"},{"id":7,"decision":"NO_MATCH"}]'),
     (9, 2, "no JSON here"),
 ]
-ACCEPTED = {1, 2, 3}
+RESPONSE_ROWS = ", ".join(f"({i}, {n}, {_quoted(r)})" for i, n, r in RESPONSES).replace(chr(10), "' || chr(10) || '")
 
 
-@query("response_validation", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(i in ACCEPTED).lower()})" for i, _, _ in RESPONSES) + ") v(id, valid)")
+@query("response_validation", f"""WITH r AS (SELECT * FROM (VALUES {RESPONSE_ROWS}) v(id, size, response)),
+  j AS (SELECT id, size, nullif(regexp_extract(response, '(?s)\\[.*\\]', 0), '') AS body FROM r),
+  e AS (SELECT j.id, j.size, unnest(CAST(body AS JSON[])) AS a FROM j WHERE json_valid(body)),
+  c AS (SELECT id, size, CAST(a->>'id' AS INT) AS k, a->>'decision' AS decision, a->>'chosen_match' AS chosen FROM e),
+  v AS (SELECT id, count(*) = any_value(size) AND count(DISTINCT k) = any_value(size) AND bool_and(k >= 0 AND k < size AND decision IN ('CONFIRM', 'CORRECTED_MATCH', 'NO_MATCH') AND (chosen IS NULL OR coalesce(list_contains([['A', 'B'], ['C']][k + 1], chosen), false))) AS valid FROM c GROUP BY id)
+  SELECT r.id, coalesce(v.valid, false) AS valid FROM r LEFT JOIN v USING (id)""")
 def response_validation(spark, d):
     df = spark.createDataFrame(RESPONSES, "id int, size int, response string")
-    candidates = F.array(F.array(F.lit("A"), F.lit("B")), F.array(F.lit("C")))
-    return df.select("id", adjudicate.valid_response(adjudicate.response_array(F.col("response")), F.col("size"), candidates).alias("valid"))
+    options = F.array(F.array(F.lit("A"), F.lit("B")), F.array(F.lit("C")))
+    return df.select("id", adjudicate.valid_response(adjudicate.response_array(F.col("response")), F.col("size"), options).alias("valid"))
 
 
 @query("batching", "WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part) SELECT p_partkey, CAST(n // 15 AS BIGINT) AS batch, CAST(n % 15 AS INT) AS id FROM r")
@@ -283,10 +368,11 @@ def batching(spark, d):
     return windows.batches(read_table(spark, d, "part").select("p_partkey"), ["p_partkey"], coarse=F.floor(F.col("p_partkey") / 500))
 
 
-@query("batch_requests")
+@query("batch_requests", f"""WITH {CATALOG}, r AS (SELECT id, name, row_number() OVER (ORDER BY id) - 1 AS n FROM cat)
+  SELECT CAST(n // 15 AS BIGINT) AS batch, CAST(count(*) AS INT) AS size, '[' || string_agg('{{"id":' || (n % 15) || ',"name":"' || replace(name, '"', chr(92) || '"') || '","candidates":["A","B"]}}', ',' ORDER BY n) || ']' AS request FROM r GROUP BY 1""")
 def batch_requests(spark, d):
-    pool = catalog(spark, d).select(F.col("name").alias("key"), "name", F.array(F.lit("A"), F.lit("B")).alias("candidates"))
-    return adjudicate.requests(pool, ["key"]).select("batch", "size", "request")
+    pool = catalog(spark, d).select("id", F.col("name").alias("key"), "name", F.array(F.lit("A"), F.lit("B")).alias("candidates"))
+    return adjudicate.requests(pool.withColumnRenamed("id", "order"), ["order"], coarse=F.floor(F.col("order") / 500)).select("batch", "size", "request")
 
 
 def log(spark, d) -> DataFrame:
@@ -352,26 +438,35 @@ def rule_client(request: str) -> str:
 @query("adjudication_loop")
 def adjudication_loop(spark, d):
     m = matched(spark, d).filter("size(top_candidates) > 0")
-    pool = m.select(F.col("name").alias("key"), "name", F.transform("top_candidates", lambda c: c["name"]).alias("candidates"))
-    _, todo = adjudicate.split_by_cache(pool, log(spark, d))
-    decided = adjudicate.call(adjudicate.requests(todo, ["key"]), rule_client, "rule")
+    # Keys are those of the log, which has decided the even ones' users already; the calls are written once before they are read.
+    pool = m.select(F.concat(F.lit("K"), F.col("query_id") % 200).alias("key"), "name", F.transform("top_candidates", lambda c: c["name"]).alias("candidates"))
+    _, todo = adjudicate.split_by_cache(pool, log(spark, d).filter("event_id % 2 = 0"))
+    decided = written(adjudicate.call(adjudicate.requests(todo, ["key"]), rule_client, "rule"), "decisions")
     return decided.select("key", "id", "decision", "chosen_match", "model_used")
 
 
-@query("network_errors", "SELECT * FROM (VALUES ('read tcp 1.2.3.4: timeout', true), ('bad request', false), ('unexpected EOF', true)) v(message, is_network)")
+MESSAGES = [*(f"call failed: {m.upper()} x" for m in adjudicate.NETWORK_MARKERS), "bad request", "400 invalid", ""]
+_MARKS = " OR ".join(f"contains(lower(message), '{m}')" for m in adjudicate.NETWORK_MARKERS)
+
+
+@query("network_errors", f"SELECT message, {_MARKS} AS is_network FROM (VALUES {', '.join(f'({_quoted(m)})' for m in MESSAGES)}) v(message)")
 def network_errors(spark, d):
-    df = spark.createDataFrame([("read tcp 1.2.3.4: timeout",), ("bad request",), ("unexpected EOF",)], "message string")
+    df = spark.createDataFrame([(m,) for m in MESSAGES], "message string")
     return df.select("message", adjudicate.is_network_error(F.col("message")).alias("is_network"))
 
 
-@query("contract_check")
+@query("contract_check", """SELECT * FROM (SELECT 'part' AS table_name, CASE WHEN count(*) FILTER (column_name IN ('p_partkey', 'p_name')) = 2 THEN 'ok' ELSE 'missing' END AS finding FROM (DESCRIBE part)
+  UNION ALL SELECT 'orders', 'missing column ' || w FROM (VALUES ('o_orderkey'), ('no_such_column')) n(w) WHERE w NOT IN (SELECT column_name FROM (DESCRIBE orders))
+  UNION ALL SELECT 'region', CASE WHEN (SELECT count(*) FROM region) = 5 THEN 'ok' ELSE 'expected 5 rows, found ' || (SELECT count(*) FROM region) END
+  UNION ALL SELECT 'nation', CASE WHEN (SELECT count(*) FROM nation) = 24 THEN 'ok' ELSE 'expected 24 rows, found ' || (SELECT count(*) FROM nation) END)""")
 def contract_check(spark, d):
     rows = []
-    for name, columns in (("part", ["p_partkey", "p_name"]), ("orders", ["o_orderkey", "no_such_column"]), ("region", ["r_regionkey"])):
-        rows += [(name, p) for p in tables.check_contract(read_table(spark, d, name), columns)] or [(name, "ok")]
+    for name, columns, n in (("part", ["p_partkey", "p_name"], None), ("orders", ["o_orderkey", "no_such_column"], None), ("region", ["r_regionkey"], 5), ("nation", ["n_nationkey"], 24)):
+        rows += [(name, p) for p in tables.check_contract(read_table(spark, d, name), columns, n)] or [(name, "ok")]
     return spark.createDataFrame(rows, "table_name string, finding string")
 
 
-@query("content_hash")
+@query("content_hash", """WITH h AS (SELECT sha256(coalesce(p_name, '')) AS h FROM part), p AS (SELECT i, sum(CAST(CAST('0x' || substr(h, CAST(1 + 8 * i AS INT), 8) AS UBIGINT) AS HUGEINT)) AS s FROM h CROSS JOIN range(4) r(i) GROUP BY i)
+  SELECT CAST((SELECT count(*) FROM part) AS BIGINT) AS n, sha256(string_agg(CAST(s AS VARCHAR), '/' ORDER BY i)) AS content_hash FROM p""")
 def content_hash(spark, d):
     return tables.content_hash(read_table(spark, d, "part"), "p_name")
