@@ -250,7 +250,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 def score(docs: DataFrame, model: Model, text: str = "text", score_col: str = "score") -> DataFrame:
     """docs with the score of each text; all columns stay (one that is named like score_col is replaced)."""
     kept = [c for c in docs.columns if c != score_col]
-    one = docs.select(*kept)
+    one = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)])  # plain names, whatever the columns are called
+    fields = [T.StructField(c, f.dataType, f.nullable) for c, f in zip(kept, one.schema.fields, strict=True)]
     at = kept.index(text)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms and TREES trees
 
@@ -259,7 +260,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", score_col: str = "s
             got = shipped.value.score([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*kept, score_col])
 
-    return one.mapInArrow(work, T.StructType([*one.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return one.mapInArrow(work, T.StructType([*fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
