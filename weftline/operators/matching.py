@@ -1,7 +1,7 @@
 """Candidate retrieval and re-ranking for entity matching.
 
-Retrieval is an inverted-index join on n-grams (only overlapping pairs meet) and a blocked dense search; neither
-builds all pairs in one place. Ties always go to the smaller catalog id.
+Retrieval is an inverted-index join on n-grams that skips the lists of common grams by bounds, and a blocked dense search;
+neither builds all pairs in one place. Ties always go to the smaller catalog id.
 """
 
 from __future__ import annotations
@@ -15,10 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
+from weftline.sources.shared import written
 
 DIGITS = 6
 HIGH, MEDIUM = 90, 70
 BLOCK_ROWS, TURN_QUERIES = 4096, 4096
+#: Entries of the shortest lists a query meets first; the part of the floor that skipped grams may add up to (more of it reads
+#: fewer lists but leaves more candidates to score); scores this close count as equal when candidates are left out.
+SEED_ROWS, SKIP, SLACK = 1024, 0.5, 1e-5
 
 
 def gram_counts(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -27,7 +31,7 @@ def gram_counts(rows: DataFrame, key: str, name: str) -> DataFrame:
 
 def tfidf(catalog: DataFrame, queries: DataFrame, key: str, query_key: str, name: str) -> tuple[DataFrame, DataFrame]:
     """(key, gram, weight) of both sides: smooth idf of the catalog, rows scaled to length 1."""
-    counts = gram_counts(catalog, key, name)
+    counts = written(gram_counts(catalog, key, name), "gram-counts")  # read for both sides
     total = catalog.select(F.countDistinct(key).alias("total"))  # one row
     idf = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select("gram", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
@@ -43,11 +47,49 @@ def top(scores: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def scored(pairs: DataFrame, q: DataFrame, c: DataFrame, key: str, query_key: str) -> DataFrame:
+    """(query_key, key, found): the share of the given pairs' score that comes from the grams of q; 0 where none is common."""
+    wanted = pairs.select(query_key, key).join(q.select(query_key, "gram", F.col("weight").alias("qw")), query_key)
+    return wanted.join(c, [key, "gram"]).groupBy(query_key, key).agg(F.sum(F.col("qw") * F.col("weight")).alias("found"))
+
+
+def floors(partial: DataFrame, q: DataFrame, c: DataFrame, key: str, query_key: str, k: int) -> DataFrame:
+    """(query_key, floor): the k-th best whole score among the 4 k rows with the best partial scores; 0 with fewer than k rows."""
+    whole = scored(top(partial, query_key, key, 4 * k), q, c, key, query_key).withColumnRenamed("found", "score")
+    return top(whole, query_key, key, k).groupBy(query_key).agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0.0).alias("floor"))
+
+
 def sparse_topk(catalog: DataFrame, queries: DataFrame, key: str, query_key: str, name: str, k: int = 8) -> DataFrame:
-    """(query_key, key, score, rank) by cosine of tf-idf vectors; rows without a common gram never meet."""
-    c, q = tfidf(catalog, queries, key, query_key, name)
-    pairs = q.withColumnRenamed("weight", "qw").join(c, "gram").groupBy(query_key, key).agg(F.round(F.sum(F.col("qw") * F.col("weight")), DIGITS).alias("score"))
-    return top(pairs, query_key, key, k)
+    """(query_key, key, score, rank) by cosine of tf-idf vectors; rows without a common gram never meet.
+
+    The lists of the commonest grams are not read to find candidates. A gram adds at most its weight in the query times its
+    largest weight in the catalog. Each query first meets its shortest lists (about SEED_ROWS entries); the k-th best whole score
+    among the best of those is a floor. Grams whose greatest shares sum to less than SKIP of the floor, longest lists first,
+    cannot lift a row above it on their own, so candidates come from the other grams. Their best ones give a higher floor, and only
+    candidates that could still reach that one get the rest of their score. Exact for any SEED_ROWS and any SKIP up to 1; a query with fewer than k candidates has floor 0 and skips no gram.
+    """
+    c, q = (written(x, "tfidf") for x in tfidf(catalog, queries, key, query_key, name))
+    lists = c.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("most"))
+    q = written(q.join(lists, "gram").withColumn("share", F.col("weight") * F.col("most")), "tfidf-lists")
+    by = Window.partitionBy(query_key)
+
+    short = by.orderBy("df", "gram")
+    seeds = q.withColumn("__before", F.coalesce(F.sum("df").over(short.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("__before") < SEED_ROWS)
+    met = seeds.select(query_key, "gram", F.col("weight").alias("qw")).join(c, "gram").groupBy(query_key, key).agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
+    floor = floors(met, q, c, key, query_key, k)
+
+    longest = by.orderBy(F.desc(F.col("df") / F.col("share")), "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    split = q.join(floor, query_key).withColumn("skipped", F.sum("share").over(longest) < F.col("floor") * SKIP - SLACK)
+    split = written(split.withColumn("rest", F.sum(F.when(F.col("skipped"), F.col("share")).otherwise(0.0)).over(by)), "tfidf-split")
+
+    found = split.filter("NOT skipped").select(query_key, "gram", F.col("weight").alias("qw"), "floor", "rest").join(c, "gram")
+    found = found.groupBy(query_key, key, "floor", "rest").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
+    found = written(found.filter(F.col("score") + F.col("rest") >= F.col("floor") - SLACK), "tfidf-found")
+    better = floors(found.select(query_key, key, "score"), q, c, key, query_key, k).withColumnRenamed("floor", "better")
+    left = found.join(better, query_key).filter(F.col("score") + F.col("rest") >= F.col("better") - SLACK).select(query_key, key, "score")
+    more = scored(left, split.filter("skipped"), c, key, query_key)
+    score = F.round(F.col("score") + F.coalesce("found", F.lit(0.0)), DIGITS)
+    return top(left.join(more, [query_key, key], "left").select(query_key, key, score.alias("score")), query_key, key, k)
 
 
 def cosine(a: Column, b: Column) -> Column:
