@@ -210,3 +210,12 @@ def test_permutation_keeps_the_values(spark):
     df = spark.range(200).selectExpr("id", "id * 3 AS x")
     got = permuted(df, "x").collect()
     assert sorted(r.x for r in got) == [3 * i for i in range(200)] and sorted(r.id for r in got) == list(range(200)) and any(r.x != 3 * r.id for r in got)
+
+
+def test_seeded_sample_does_not_depend_on_the_layout(spark):
+    df = spark.range(500).select(F.col("id").alias("k"))
+    draw = lambda d, seed=42: sorted(r.k for r in reshape.seeded_sample(d, "k", 40, seed).collect())
+    assert draw(df) == draw(df.repartition(7)) and len(draw(df)) == 40 and draw(df) != draw(df, 43)
+    assert len(draw(df.filter("k < 10"))) == 10 and draw(df.filter("k < 0")) == []
+    twice = df.unionByName(spark.createDataFrame([(None,), (None,)], "k long"))
+    assert len(reshape.seeded_sample(twice, "k", 600).collect()) == 502

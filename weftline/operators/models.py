@@ -9,7 +9,7 @@ import random
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from weftline.operators import metrics
 
 FOLDS = [(1, 5, 6), (2, 6, 7), (3, 7, 8)]
+SMOOTHING = 20.0
 
 
 def last_folds(n: int) -> list[tuple[int, int, int]]:
@@ -31,9 +32,16 @@ def with_folds(df: DataFrame, folds: list[tuple[int, int, int]] = FOLDS, t: str
     return df.select("*", of).withColumn("fold", F.col("f.fold")).withColumn("is_test", F.col(t) == F.col("f.test")).drop("f")
 
 
-def pipeline(features: list[str], categories: list[str], label: str, loss: str = "absolute", trees: int = 12, depth: int = 4, seed: int = 42) -> Pipeline:
-    stages = [StringIndexer(inputCol=c, outputCol=f"__{c}", handleInvalid="keep") for c in categories]
-    stages.append(VectorAssembler(inputCols=[*features, *(f"__{c}" for c in categories)], outputCol="__features", handleInvalid="keep"))
+def pipeline(features: list[str], categories: list[str], label: str, loss: str = "absolute", trees: int = 12, depth: int = 4, seed: int = 42, entities: tuple[str, ...] = ()) -> Pipeline:
+    """Small categories are indexed; entities, which may have any number of values, become their mean label in training, drawn
+    towards the mean of all by SMOOTHING rows (an unseen one gets that mean).
+    """
+    stages = [StringIndexer(inputCol=c, outputCol=f"__{c}", handleInvalid="keep") for c in (*categories, *entities)]
+    if entities:
+        stages.append(TargetEncoder(inputCols=[f"__{c}" for c in entities], outputCols=[f"__{c}_mean" for c in entities], labelCol=label, targetType="continuous", smoothing=SMOOTHING, handleInvalid="keep"))
+        levels = ", ".join(f"`__{c}_mean` + 0D AS `__{c}_level`" for c in entities)  # a sum has no category marks, which trees would go by
+        stages.append(SQLTransformer(statement=f"SELECT *, {levels} FROM __THIS__"))
+    stages.append(VectorAssembler(inputCols=[*features, *(f"__{c}" for c in categories), *(f"__{c}_level" for c in entities)], outputCol="__features", handleInvalid="keep"))
     if loss == "huber":
         stages.append(LinearRegression(featuresCol="__features", labelCol=label, predictionCol="__prediction", loss="huber", maxIter=trees))
     else:

@@ -59,3 +59,12 @@ def shares(df: DataFrame, column: str) -> DataFrame:
 def clean_placeholders(df: DataFrame) -> DataFrame:
     """All string columns trimmed, placeholders to null."""
     return df.withColumns({f.name: tx.null_placeholders(F.col(f.name)) for f in df.schema if f.dataType.simpleString() == "string"})
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """The n rows whose keys have the smallest digests under the seed, ties by key: the same ones however the table is laid out.
+
+    n is meant to fit one task; each task hands over its own n smallest rows, so the table is not shuffled.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    return df.orderBy(digest, F.col(key)).limit(n)

@@ -571,7 +571,16 @@ def features(df: DataFrame, keys: list[str]) -> DataFrame:
 def gbt_walkforward(spark, d):
     of = Panel(spark, d, brand_lines)
     df = features(of.items(), ["item"]).withColumn("segment", F.when(F.col("mean_outage_lag1") > 0.3, "SHTG").otherwise("AVAL")).persist()  # item months, read by every fold
-    got = models.walk_forward(df, FEATURES, ["segment"], "positive_sales", folds=models.last_folds(of.last()), trees=6, depth=3)
+    got = models.walk_forward(df, FEATURES, ["segment"], "positive_sales", folds=models.last_folds(of.last()), trees=6, depth=3, entities=("item",))
+    return got.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(metrics.business_accuracy(F.col("positive_sales"), F.col("predicted")), 4).alias("accuracy"))
+
+
+@query("gbt_rows_walkforward")
+def gbt_rows_walkforward(spark, d):
+    """One row per item, warehouse and month; the item, the warehouse and the segment are features."""
+    of = Panel(spark, d, brand_lines)
+    df = features(of.dense(), W).withColumn("segment", F.when(F.col("positive_sales_lag1") > 0, "AVAL").otherwise("RARE")).persist()  # read by every fold
+    got = models.walk_forward(df, [f for f in FEATURES if f in df.columns], ["segment"], "positive_sales", folds=models.last_folds(of.last()), trees=6, depth=3, entities=tuple(W))
     return got.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(metrics.business_accuracy(F.col("positive_sales"), F.col("predicted")), 4).alias("accuracy"))
 
 

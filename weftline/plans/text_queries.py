@@ -101,6 +101,12 @@ def summary_report(spark, d):
     return one.select(F.explode(F.array(row("customers", "n"), row("segments", "s"), row("largest balance", "b"))).alias("r")).select("r.*")
 
 
+@query("seeded_sample", "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 500")
+def seeded_sample(spark, d):
+    """A sample of 500 orders; its size is the feature."""
+    return reshape.seeded_sample(read_table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 500)
+
+
 @query("top_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def top_rows(spark, d):
     return read_table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
