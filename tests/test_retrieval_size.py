@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as tx
 from weftline.operators import matching
 from weftline.operators.nearest import Best
+from weftline.plans import text_queries
 
 WORDS = ["tablet", "cream", "syrup", "brand", "old", "new", "red", "blue", "mg", "ml", "7", "12"]
 
@@ -78,3 +79,31 @@ def test_best_of_columns(seed):
     for c in range(7):
         want = sorted((-np.round(s[r, c], 6), r) for r in range(400) if s[r, c] > 0)[:5]
         assert [(-x, r) for x, r in zip(score[column == c], row[column == c], strict=True)] == want
+
+
+@pytest.mark.parametrize("name", ["hybrid_candidates"])
+def test_names_are_built_once(spark, small_dir, monkeypatch, name):
+    calls = []
+    monkeypatch.setattr(text_queries, "part_names", lambda *a, f=text_queries.part_names: calls.append(1) or f(*a))
+    text_queries.QUERIES[name](spark, small_dir)
+    assert len(calls) == 2  # catalog and queries
+
+
+def test_dense_with_many_ties(spark, monkeypatch):
+    draw = random.Random(5)
+    rows = [(i, [float(draw.randint(0, 2)) for _ in range(4)]) for i in range(500)]
+    c = spark.createDataFrame(rows, "id long, v array<double>")
+    q = c.filter("id % 9 = 0").withColumnRenamed("id", "query_id")
+    for name, value in (("BLOCK_ROWS", 70), ("TURN_QUERIES", 20), ("BATCH_QUERIES", 6), ("SEED_ROWS", 16)):
+        monkeypatch.setattr(matching, name, value)
+    got = {(r.query_id, r.rank): (r.id, r.score) for r in matching.dense_topk(c, q, "id", "query_id", "v", exclude_self=True).collect()}
+    unit = [np.array(v) / (np.linalg.norm(v) or 1) for _, v in rows]
+    for a in range(0, 500, 9):
+        want = sorted((-round(float(unit[a] @ unit[b]), 6), b) for b in range(500) if b != a)[:8]
+        assert [(b, -s) for s, b in want] == [(got[a, r][0], pytest.approx(got[a, r][1], abs=1e-9)) for r in range(1, 9)]
+
+
+def test_dense_leaves_out_vectors_that_are_not_finite(spark):
+    c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, [0.0, 1.0])], "id long, v array<double>")
+    got = matching.dense_topk(c, c.filter("id = 1").withColumnRenamed("id", "query_id"), "id", "query_id", "v").collect()
+    assert sorted((r.rank, r.id, r.score) for r in got) == [(1, 1, 1.0), (2, 4, 0.0)]
