@@ -81,7 +81,7 @@ def test_best_of_columns(seed):
         assert [(-x, r) for x, r in zip(score[column == c], row[column == c], strict=True)] == want
 
 
-@pytest.mark.parametrize("name", ["hybrid_candidates", "token_sort_ratio_best"])
+@pytest.mark.parametrize("name", ["hybrid_candidates", "token_sort_ratio_best", "tier_distribution"])
 def test_names_are_built_once(spark, small_dir, monkeypatch, name):
     calls = []
     monkeypatch.setattr(text_queries, "part_names", lambda *a, f=text_queries.part_names: calls.append(1) or f(*a))
