@@ -107,3 +107,13 @@ def test_dense_leaves_out_vectors_that_are_not_finite(spark):
     c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, [0.0, 1.0])], "id long, v array<double>")
     got = matching.dense_topk(c, c.filter("id = 1").withColumnRenamed("id", "query_id"), "id", "query_id", "v").collect()
     assert sorted((r.rank, r.id, r.score) for r in got) == [(1, 1, 1.0), (2, 4, 0.0)]
+
+
+def test_adjudication_of_undecided_names(spark, small_dir, monkeypatch):
+    calls = []
+    monkeypatch.setattr(text_queries, "part_names", lambda *a, f=text_queries.part_names: calls.append(1) or f(*a))
+    monkeypatch.setattr(text_queries, "log", lambda *a, f=text_queries.log: f(*a).filter("false"))
+    got = text_queries.QUERIES["adjudication_loop"](spark, small_dir).collect()
+    assert len(calls) == 2  # catalog and queries
+    assert sorted(r.key for r in got) == ["K0", "K100"]
+    assert all(r.decision in ("CONFIRM", "NO_MATCH") and r.model_used == "rule" for r in got)
