@@ -6,11 +6,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import matching
+from weftline.operators import matching, reshape
 from weftline.plans import text_queries
 from weftline.sources.shared import together
 
 
+def searches(df):
+    return df._jdf.queryExecution().toString().count("CoGroup")
+
+
 @pytest.fixture(scope="module")
 def copies(spark, small_dir, tmp_path_factory):
     """The parts three times, keys shifted by 1,000."""
@@ -21,6 +25,13 @@ def copies(spark, small_dir, tmp_path_factory):
     return at
 
 
+def test_tiers_are_counted_from_a_table(spark, small_dir, monkeypatch):
+    tiers = []
+    monkeypatch.setattr(reshape, "shares", lambda df, *a, f=reshape.shares: tiers.append(df) or f(df, *a))
+    text_queries.QUERIES["tier_distribution"](spark, small_dir)
+    assert [searches(t) for t in tiers] == [0]
+
+
 def test_names_of_copies_are_matched_once(spark, small_dir, copies, monkeypatch):
     asked = []
     for name in ("sparse_topk", "dense_topk"):
