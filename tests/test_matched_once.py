@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import matching, reshape
+from weftline.operators import adjudicate, matching, reshape
 from weftline.plans import text_queries
 from weftline.sources.shared import together
 
@@ -25,6 +25,13 @@ def copies(spark, small_dir, tmp_path_factory):
     return at
 
 
+def test_adjudication_reads_its_undecided_names_from_a_table(spark, small_dir, monkeypatch):
+    pools = []
+    monkeypatch.setattr(adjudicate, "requests", lambda pool, *a, f=adjudicate.requests: pools.append(pool) or f(pool, *a))
+    text_queries.QUERIES["adjudication_loop"](spark, small_dir)
+    assert [searches(p) for p in pools] == [0]
+
+
 def test_tiers_are_counted_from_a_table(spark, small_dir, monkeypatch):
     tiers = []
     monkeypatch.setattr(reshape, "shares", lambda df, *a, f=reshape.shares: tiers.append(df) or f(df, *a))
